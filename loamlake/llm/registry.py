@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loamlake.llm import mixing, packing, quality, url_filters
+from loamlake.llm import mixing, ngram_join, packing, quality, url_filters
 
-_MODULES = (url_filters, mixing, quality, packing)
+_MODULES = (url_filters, ngram_join, mixing, quality, packing)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
