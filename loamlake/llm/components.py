@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamlake.llm.common import cut
+from loamlake.llm.common import cut, forget
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         maps.append(adopted)
         left = links.join(adopted, "u").select(F.col("r").alias("u"), "v")
         right = adopted.select(F.col("u").alias("v"), F.col("r").alias("w"))
-        links = cut(left.join(right, "v").where("u <> w").select("u", F.col("w").alias("v")).distinct())
+        before, links = links, cut(left.join(right, "v").where("u <> w").select("u", F.col("w").alias("v")).distinct())
+        forget(before)
     if not maps:
         return e.select(F.col("u").alias("node"), F.col("v").alias("component")).limit(0)
     root = maps.pop()
