@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loamlake.functions import html as H
 from loamlake.functions.editorial import clean_html
-from loamlake.functions.text import SKIP_SEGMENTS
+from loamlake.functions.text import SKIP_SEGMENTS, squeeze
 
 # Section names by their path segment; others are made from the segment.
 CATEGORIES = {
@@ -158,9 +159,26 @@ def listing_url(base: str, page: int, path: str = "todas-as-noticias/") -> str:
     return f"{base.rstrip('/')}/{path}" + (f"page/{page}/" if page > 1 else "")
 
 
-def title_tag(html: Column) -> Column:
-    from loamlake.functions.text import squeeze
+def crawl(fetch: Callable[[str], str | None], base: str, limit: int | None = None, max_pages: int | None = None, pause: float = 1.0) -> Iterator[str]:
+    """Article addresses of a site's listing pages, each once. fetch gives a page's HTML, or null if there is none.
+
+    Ends with the limit, max_pages, a missing or empty page, or a page without new links.
+    """
+    seen: set[str] = set()
+    page = 0
+    while (max_pages is None or page < max_pages) and (limit is None or len(seen) < limit):
+        page += 1
+        if page > 1:
+            time.sleep(pause)
+        fresh = [u for u in listing_links(fetch(listing_url(base, page)), base) if u not in seen]
+        if not fresh:
+            return
+        for url in fresh if limit is None else fresh[: limit - len(seen)]:
+            seen.add(url)
+            yield url
 
+
+def title_tag(html: Column) -> Column:
     return squeeze(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 

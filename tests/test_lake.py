@@ -214,3 +214,13 @@ def test_bronze_pipeline_and_stream(spark, tmp_path):
     numbered = sinks.number_articles(spark.createDataFrame([(f"u{i}",) for i in range(5)], "url string"), "url")
     assert sorted(r["object_name"] for r in numbered.collect()) == [f"article_{i:06d}.json" for i in range(1, 6)]
     assert chunk_documents(spark.createDataFrame([(1, None), (2, " ")], "id int, texto string")).count() == 0
+
+
+def test_crawl():
+    listing = lambda *paths: "<main>" + "".join(f"<article class=post><a href='{p}'>x</a></article>" for p in paths) + "</main>"
+    site = {1: listing("/a/1", "/a/2"), 2: listing("/a/2", "/a/3"), 3: listing("/a/3")}
+    number = lambda u: int(u.rstrip("/").rsplit("/", 1)[-1]) if "page/" in u else 1
+    fetch = lambda u: site.get(number(u))
+    run = lambda **k: [u[-1] for u in pages.crawl(fetch, "https://s.example", pause=0, **k)]
+    assert run() == ["1", "2", "3"] and run(limit=2) == ["1", "2"] and run(max_pages=1) == ["1", "2"]
+    assert list(pages.crawl(lambda _: None, "https://s.example", pause=0)) == []

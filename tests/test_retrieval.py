@@ -161,3 +161,23 @@ def test_settings():
         valid_mode("other")
     with pytest.raises(ValueError):
         AnswerConfig(max_sources=0)
+
+
+def test_benchmark_run(spark, chunks, tmp_path):
+    from loamlake.operators import evaluate
+    from loamlake.plans.benchmark import append_results, run_cases
+
+    engine = Engine(chunks, embed_documents(chunks, "id", "texto"))
+    base = dict.fromkeys(evaluate.CASE_FIELDS, "") | {"categoria": "json", "review_status": "approved", "answerable": True}
+    kinds = ", ".join(f"{c} {'boolean' if c == 'answerable' else 'string'}" for c in evaluate.CASE_FIELDS)
+    rows = [base | {"id": "a", "pergunta": "inteligência artificial", "document_id_esperado": "doc_2"}, base | {"id": "b", "pergunta": "vulcões", "answerable": False}]
+    cases = spark.createDataFrame(rows, kinds)
+    first = run_cases(engine, cases, limit=1)
+    append_results(first, str(tmp_path / "results"))
+    done = spark.read.json(str(tmp_path / "results"))
+    assert [(r["id"], r["expected_rank"] is not None) for r in done.collect()] == [("a", True)]
+    append_results(run_cases(engine, cases, done), str(tmp_path / "results"))
+    results = spark.read.json(str(tmp_path / "results"))
+    assert sorted((r["id"], r["evidence_sufficient"]) for r in results.collect()) == [("a", True), ("b", False)]
+    joined = evaluate.joined(cases, results).withColumn("outcome", evaluate.outcome(F.col("answerable"), F.col("r.evidence_sufficient"), F.col("r.expected_rank")))
+    assert evaluate.confusion(joined).first()["accuracy"] == 1.0
