@@ -7,6 +7,7 @@ eight distinct tokens of a benchmark item are a question, and text is embedded b
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +43,9 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 
 def engine(spark: SparkSession, sf: str) -> Engine:
     docs = chunks(spark, sf)
-    return Engine(docs, embed_documents(docs, "id", "texto"), CONFIG)
+    # in the lake these are stored; here they are made once for all that reads them
+    vectors = embed_documents(docs, "id", "texto").persist(StorageLevel.DISK_ONLY)
+    return Engine(docs, vectors, CONFIG)
 
 
 def asked(spark: SparkSession, sf: str) -> DataFrame:
