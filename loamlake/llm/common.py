@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,16 +28,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, tidy: bool = False) -> DataFrame:
     """df written once as a table in the shared checkpoint folder and read again.
 
     Rows survive lost executors, and later plans begin at the files: unlike Dataset.checkpoint, which carries
     constraints over and makes them multiply in loops, this keeps plans small and gives Spark true sizes.
+    tidy: what was shuffled for it is large and no longer needed; a collection on the driver lets Spark delete
+    it now, not whenever the driver next runs out of memory.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if tidy:
+        for _ in range(2):  # the first lets go of what the finished query still holds
+            time.sleep(0.5)
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out

@@ -98,23 +98,25 @@ def _hash_mod(salt: int, modulus: Column) -> Column:
 
 
 def _met(sets: DataFrame) -> DataFrame:
-    """(fp, n, met): how many of the small hashes of a set also lie among the small hashes of another, over all its copies."""
-    rows = sets.where("n > 0").select("fp", "n", F.explode("toks").alias("tok"))
-    first = F.xxhash64("fp")
-    shared = rows.groupBy("tok").agg(F.min(first).alias("lo"), F.max(first).alias("hi")).where("lo <> hi").select("tok")
-    return rows.join(shared, "tok").groupBy("fp", "n").agg(F.count(F.lit(1)).alias("met"))
+    """(fh, met): how many of the small hashes of a set also lie among the small hashes of another, over all its copies.
+
+    fh is a hash of fp; two sets of one fh would only make more survivors.
+    """
+    rows = sets.where("n > 0").select(F.xxhash64("fp").alias("fh"), F.explode("toks").alias("tok"))
+    shared = rows.groupBy("tok").agg(F.min("fh").alias("lo"), F.max("fh").alias("hi")).where("lo <> hi").select("tok")
+    return rows.join(shared, "tok").groupBy("fh").agg(F.count(F.lit(1)).alias("met"))
 
 
 def jaccard_links(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) links that connect the same classes as all links do. sets: cls, n, toks (distinct, any order)."""
-    sets = cut(sets)
+    sets = cut(sets, tidy=True)
     tokens = sets.select("cls", F.explode("toks").alias("tok"))
     counts = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = tokens.join(counts, "tok").groupBy("cls").agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "tok"))), lambda s: s["tok"]).alias("toks"))
     # tokens of one class only come first in the order; what the prefix has left after them is shared
     least = F.floor((F.col("n") * num + (den - 1)) / den)
     left = (F.col("n") - least + 1 - (F.col("n") - F.size("toks"))).cast("int")
-    ordered = cut(sets.select("cls", "n").join(shared, "cls").withColumn("left", left).where("left > 0"))
+    ordered = cut(sets.select("cls", "n").join(shared, "cls").withColumn("left", left).where("left > 0"), tidy=True)
     heads = ordered.select("cls", F.explode(F.slice("toks", F.lit(1), F.col("left"))).alias("tok"))
     hubs = heads.groupBy("tok").agg(F.min("cls").alias("hub"), F.max("cls").alias("far")).where("hub <> far")
     stars = heads.join(hubs, "tok").where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
@@ -160,11 +162,11 @@ def _components(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
     sets = cut(shingle_sets(rows, width, (num, den)))
     linked = sets.where("n > 0 and doc_id is not null")
     # one text stands for each class of equal sets
-    classes = linked.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.count(F.lit(1)).alias("copies"))
+    classes = linked.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
     classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()))
     # sets that link share at least this many tokens of their prefixes, which run n // 20 tokens (one at least) beyond the shortest
     enough = F.greatest(F.lit(1), F.floor(F.col("n") * num / (20 * den)))
-    few = classes.join(_met(linked), "fp").where(F.col("met") >= enough * F.col("copies"))
+    few = classes.join(cut(_met(linked), tidy=True), F.xxhash64("fp") == F.col("fh")).where(F.col("met") >= enough * F.col("copies"))
     chosen = few.select("one.doc_id", "one.text_hash", "cls")
     texts = rows.join(chosen.hint("shuffle_hash"), ["doc_id", "text_hash"]).select(F.col("cls").alias("doc_id"), "text_hash", "text")
     survivors = shingle_sets(texts, width, None).select(F.col("doc_id").alias("cls"), "n", "toks").dropDuplicates(["cls"])
@@ -217,6 +219,18 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
-#: Whole tables need too long for the pairs in SQL; the query is tested against brute force.
-SQL: dict[str, str] = {}
+#: Exact shingles, all pairs that share one, and what links reach. Fit for the tables of the SQL check only.
+SQL = {
+    "op2_ngram_jaccard": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END AS s FROM w),
+u AS (SELECT DISTINCT doc_id, unnest(s) AS g FROM s),
+n AS (SELECT doc_id, count(*) AS n FROM u GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(x, y) AS (SELECT a, b FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a),
+m AS (SELECT x, min(y) AS y FROM r GROUP BY x)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(m.y, doc_id)) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.x = doc_id""",
+}
 QUERIES = {"op2_ngram_jaccard": op2_ngram_jaccard}
