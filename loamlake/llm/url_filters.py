@@ -132,7 +132,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] | DataFrame, edges: DataF
         links = given if links is None else links.union(given)
     members = None
     if links is not None and not (links := cut(links.distinct())).isEmpty():
-        members = connected_components(links)
+        members = connected_components(links, local_edges=0)
     if members is None:
         return judged.withColumn("via_alias", F.lit(False)).withColumn("verdict", F.coalesce("verdict", F.lit(default)))
     parts = cut(members.withColumn("mh", F.regexp_extract("node", r"(?s)^([^/?]*)", 1)).withColumn("mp", F.regexp_extract("node", r"(?s)^[^/?]*([^?]*)", 1)))

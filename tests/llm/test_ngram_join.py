@@ -132,8 +132,9 @@ def test_components(spark):
         if a is not None and a != b:
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
-    out = connected_components(spark.createDataFrame(edges, "a long, b long"))
-    assert {r["node"]: r["component"] for r in out.collect()} == {x: find(x) for x in parent}
+    for local in (0, 200, 10**6):  # contracted to the end, finished in one task, and that alone
+        out = connected_components(spark.createDataFrame(edges, "a long, b long"), local_edges=local)
+        assert {r["node"]: r["component"] for r in out.collect()} == {x: find(x) for x in parent}
     assert connected_components(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
