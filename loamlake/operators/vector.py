@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGITS = 9
@@ -59,6 +59,12 @@ def vector_search(vectors: DataFrame, questions: DataFrame, limit: int, key: str
     return found.withColumn("rank_vector", F.row_number().over(order)).where(F.col("rank_vector") <= limit)
 
 
+def payload_id(payload: Column, point_id: Column) -> Column:
+    """The text row of a point: postgres_id in its payload, else its own id; anything but a whole number is an error."""
+    given = F.coalesce(F.try_element_at(payload, F.lit("postgres_id")), point_id.cast("string"))
+    return F.when(given.rlike(r"^-?\d+$"), given.cast("long")).otherwise(F.raise_error(F.concat(F.lit("not an id: "), F.coalesce(given, F.lit("null")))).cast("long"))
+
+
 def _best(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, norms: np.ndarray, limit: int, metric: str) -> pa.RecordBatch:
     scores = q @ x.T
     if metric == "cosine":

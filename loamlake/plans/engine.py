@@ -18,6 +18,16 @@ from loamlake.operators.vector import vector_search
 from loamlake.plans.config import TOP_K, AnswerConfig, EvidenceConfig, RetrievalConfig, valid_mode, valid_top_k
 
 
+#: What a caller may see of a question's measures.
+PUBLIC_METRICS = ("n_sources", "n_direct", "n_partial", "n_weak", "n_strong_partial", "n_lexical", "n_distinct_sources", "n_covered", "coverage")
+
+
+def public_metrics(decisions: DataFrame) -> DataFrame:
+    """(qid, metrics map) of the measures in PUBLIC_METRICS that are known."""
+    pairs = [x for m in PUBLIC_METRICS if m in decisions.columns for x in (F.lit(m), F.col(m).cast("double"))]
+    return decisions.select("qid", F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()).alias("metrics"))
+
+
 @dataclass
 class Engine:
     """Searches chunks (id, documento_id, titulo, texto, url, categoria, autor, ...) and their vectors (id, vector)."""

@@ -36,6 +36,13 @@ def number_articles(articles: DataFrame, by: str, stem: str = "article") -> Data
     return ranked.withColumn("object_name", F.concat(F.lit(f"{stem}_"), F.lpad((F.col("_before") + F.col("_i")).cast("string"), 6, "0"), F.lit(".json"))).drop("_b", "_i", "_before")
 
 
+def article_files(articles: DataFrame, by: str = "url", stem: str = "article") -> DataFrame:
+    """(object_name, content): every article as a numbered JSON file of its six fields, for publish_files or upload."""
+    fields = [F.coalesce(F.col(f), F.lit("")).alias(f) for f in ("titulo", "autor", "data", "categoria", "conteudo", "url")]
+    body = F.encode(F.to_json(F.struct(*fields), {"pretty": "true"}), "UTF-8")
+    return number_articles(articles, by, stem).select("object_name", body.alias("content"))
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -213,6 +213,9 @@ def test_bronze_pipeline_and_stream(spark, tmp_path):
     sinks.write_audit_csv(spark.createDataFrame([(1, ["a"])], "i int, l array<string>"), str(tmp_path / "csv"))
     numbered = sinks.number_articles(spark.createDataFrame([(f"u{i}",) for i in range(5)], "url string"), "url")
     assert sorted(r["object_name"] for r in numbered.collect()) == [f"article_{i:06d}.json" for i in range(1, 6)]
+    files = sinks.article_files(spark.createDataFrame([{**ARTICLE, "autor": None}], "titulo string, autor string, data string, categoria string, conteudo string, url string"))
+    sinks.publish_files(files, str(tmp_path / "articles"))
+    assert read_articles(spark, str(tmp_path / "articles"), ("json",)).first()["titulo"] == ARTICLE["titulo"]
     assert chunk_documents(spark.createDataFrame([(1, None), (2, " ")], "id int, texto string")).count() == 0
 
 

@@ -9,9 +9,9 @@ from loamlake.operators.context import ExtractiveAnswers, pack_context
 from loamlake.operators.evidence import classify, decide
 from loamlake.operators.fusion import dedup_sources, fuse
 from loamlake.operators.lexical import LexicalIndex, lexical_search
-from loamlake.operators.vector import vector_search
+from loamlake.operators.vector import payload_id, vector_search
 from loamlake.plans.config import AnswerConfig, EvidenceConfig, RetrievalConfig, valid_mode, valid_top_k
-from loamlake.plans.engine import Engine
+from loamlake.plans.engine import Engine, public_metrics
 from loamlake.operators.embed import embed_documents
 
 DOCS = [(1, "Inteligência Artificial na USP", "pesquisa aplicada"), (2, "Pesquisa aplicada", "inteligencia artificial na usp"), (3, "Saúde", "pesquisa médica")]
@@ -44,6 +44,13 @@ def test_vector_search(spark):
     assert [r["id"] for r in vector_search(v, q, 2, metric="inner").orderBy("rank_vector").collect()] == [4, 1]
 
 
+def test_payload_id(spark):
+    df = spark.createDataFrame([({"postgres_id": "7"}, "x"), ({}, "9"), (None, "4")], "p map<string,string>, i string")
+    assert [r[0] for r in df.select(payload_id(F.col("p"), F.col("i"))).collect()] == [7, 9, 4]
+    with pytest.raises(Exception, match="not an id"):
+        df.select(payload_id(F.lit(None).cast("map<string,string>"), F.lit("x"))).collect()
+
+
 def hits(spark, vector, lexical):
     v = spark.createDataFrame([(1, i, 0.5, k) for k, i in enumerate(vector, 1)], "qid long, id long, score_vector double, rank_vector int")
     return v, spark.createDataFrame([(1, i, 5.0, k) for k, i in enumerate(lexical, 1)], "qid long, id long, score_lexical double, rank_lexical int")
@@ -143,6 +150,7 @@ def test_engine(spark, chunks):
     out = {r["qid"]: r for r in engine.ask(q).collect()}
     assert out[1]["sufficient"] and not out[1]["llm_skipped"] and out[1]["answer"] and out[1]["sources"]
     assert out[2]["llm_skipped"] and not out[2]["sufficient"]
+    assert {r["qid"]: r["metrics"]["coverage"] for r in public_metrics(engine.judge(q)[2]).collect()}[1] == 1.0
     for mode in ("vector", "lexical"):
         assert engine.search(q, 2, mode).where("qid = 1").count() <= 2
     with pytest.raises(Exception, match="blank"):
