@@ -1,11 +1,12 @@
 from __future__ import annotations
 
+import base64
 import random
 import re
 
 import zstandard
 
-from loamlake.llm.quality import LEVEL, assess, band_of, keep_good, op8_quality_rules, quality_columns, repeated_words
+from loamlake.llm.quality import LEVEL, assess, band_of, keep_good, limits, op8_quality_rules, quality_columns, repeated_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -78,3 +79,31 @@ def test_labelled_documents(spark):
     good = [r for r in rows if r["quality"] == 1 and not r["base_failed"]]
     assert good and all(r["kept"] for r in good)
     assert any(not r["kept"] for r in rows if r["quality"] == 0)
+
+
+def test_bands_alone_reject_noise():
+    """Base64 noise in eleven words or more, which the base rules let through."""
+    press = zstandard.ZstdCompressor(level=LEVEL)
+    rng = random.Random(5)
+    for size in (130, 200, 290, 400, 600, 900, 1500):
+        for _ in range(50):
+            text = base64.b64encode(rng.randbytes(size)).decode()[:size]
+            text = " ".join(text[i : i + size // 11] for i in range(0, size, size // 11))
+            row = assess(text, press)
+            assert not row[5] and row[8], (size, row)
+
+
+def test_bands_alone_reject_labelled_documents(spark):
+    """More than half of the documents labelled bad that pass the base rules fall to the bands; no good one does."""
+    sf = "/root/testdata/sf0.1"
+    rows = op8_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed").collect()
+    bad = [r["band_failed"] for r in rows if r["quality"] == 0]
+    assert sum(bad) > len(bad) / 2
+    assert not any(r["band_failed"] for r in rows if r["quality"] == 1)
+
+
+def test_limits_follow_the_labels():
+    for size in (100, 299, 300, 999, 1000, 3999, 5000, 39_999, 10**7):
+        least, most = limits(size)
+        assert 0.9 < least < most < 3.1
+    assert limits(0) == limits(1) and limits(120)[0] > 0.95 and limits(3000)[1] < 2.3
