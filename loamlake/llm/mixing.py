@@ -2,7 +2,8 @@
 
 A source with n documents and target weight w gets the rate w * total / n. Every document draws a uniform
 number from a hash of the seed and its id; the count of Poisson distribution steps at or below that number
-is how often it appears. Counts are independent of partitioning, so a retried task repeats them.
+is how often it appears. A rate above LARGEST is the sum of draws of at most PART each, every one with a number
+of its own. Counts are independent of partitioning, so a retried task repeats them.
 """
 
 from __future__ import annotations
@@ -18,6 +19,12 @@ from loamlake.llm.common import free_name, md5_uniform, table
 DEFAULT_WEIGHT = 1.0
 SEED = "mix-1"
 
+#: exp(-rate) is a normal double up to here; a larger rate is split into equal parts of at most PART.
+LARGEST = 700
+PART = 500
+#: Copies of a row are numbered in runs of so many, so that no array grows with the rate.
+RUN = 1_000
+
 #: Only so few sources are sent to every executor; more are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
 
@@ -25,12 +32,18 @@ BROADCAST_SOURCES = 10_000
 def poisson_steps(rate: Column) -> Column:
     """P(X <= 0), P(X <= 1), ... as far as a double below 1 can lie above them.
 
-    The recurrence starts at exp(-rate); beyond a rate of 700 that is zero in doubles, so such a rate is refused.
+    The recurrence starts at exp(-rate); beyond a rate of 700 that is zero in doubles, so such a rate is refused
+    here and split by its caller.
     """
     last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
     start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("c"))
     step = lambda s, k: F.struct((s["p"] * rate / k).alias("p"), F.concat(s["c"], F.array(F.element_at(s["c"], -1) + s["p"] * rate / k)).alias("c"))
-    return F.when(rate > 700, F.raise_error(F.lit("a repetition rate above 700"))).otherwise(F.aggregate(F.sequence(F.lit(1), last), start, step)["c"])
+    return F.when(rate > LARGEST, F.raise_error(F.lit("a repetition rate above 700"))).otherwise(F.aggregate(F.sequence(F.lit(1), last), start, step)["c"])
+
+
+def rate_parts(rate: Column) -> Column:
+    """How many draws a rate is split into; 1 up to LARGEST."""
+    return F.when(rate > LARGEST, F.ceil(rate / PART).cast("int")).otherwise(F.lit(1))
 
 
 def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, total: int | None = None, source: str = "source") -> tuple[DataFrame, int]:
@@ -55,14 +68,17 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, tot
     rows with equal keys draw alike. Columns named copy_no or repeats are replaced. Empty in, empty out.
     """
     docs = docs.drop("copy_no", "repeats")
-    steps, src, mix = free_name(docs, "steps"), free_name(docs, "mix_source"), free_name(docs, "mix_key")
+    steps, parts, src, mix, run = (free_name(docs, x) for x in ("steps", "mix_parts", "mix_source", "mix_key", "mix_run"))
     rates, found = source_rates(docs, weights, total, source)
-    rates = rates.select(F.col("source").alias(src), poisson_steps(F.col("rate")).alias(steps))
+    rates = rates.select(F.col("source").alias(src), rate_parts(F.col("rate")).alias(parts), poisson_steps(F.col("rate") / rate_parts(F.col("rate"))).alias(steps))
     name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    u = md5_uniform(F.lit(seed), name)
+    below = lambda u: F.size(F.filter(steps, lambda c: c <= u))
+    us = F.transform(F.sequence(F.lit(1), F.col(parts)), lambda j: md5_uniform(F.lit(seed), name, F.lit("part"), j.cast("string")))
+    drawn_parts = F.aggregate(us, F.lit(0), lambda n, u: n + below(u))
     drawn = docs.join(F.broadcast(rates) if found <= BROADCAST_SOURCES else rates, docs[source].eqNullSafe(F.col(src)))
-    drawn = drawn.withColumn("repeats", F.size(F.filter(F.col(steps), lambda c: c <= u))).drop(steps, src).where("repeats > 0")
-    copies = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)))
+    drawn = drawn.withColumn("repeats", F.when(F.col(parts) > 1, drawn_parts).otherwise(below(md5_uniform(F.lit(seed), name)))).drop(steps, parts, src).where("repeats > 0")
+    runs = drawn.withColumn(run, F.explode(F.sequence(F.lit(0), F.col("repeats") - 1, F.lit(RUN))))
+    copies = runs.withColumn("copy_no", F.explode(F.sequence(F.col(run), F.least(F.col(run) + RUN, F.col("repeats")) - 1))).drop(run)
     copies = copies.withColumn(mix, F.md5(F.concat_ws("|", F.lit(seed), F.lit("place"), name, F.col("copy_no").cast("string"))))
     dealt = copies.repartition(partitions, mix) if partitions else copies.repartition(mix)
     return dealt.sortWithinPartitions(mix).drop(mix)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 from collections import Counter
@@ -120,6 +121,29 @@ def test_mix(spark):
     assert again == [tuple(r) for r in mix_sources(df, partitions=1).collect()]
 
 
+def brute_parts(doc, rate, seed=mixing.SEED):
+    """The sum of draws of at most 500 each, every one by its own hash."""
+    parts = math.ceil(rate / 500)
+    p = c = math.exp(-rate / parts)
+    steps = [c]
+    for k in range(1, math.ceil(rate / parts + 12 * math.sqrt(rate / parts) + 30) + 1):
+        p *= rate / parts / k
+        c += p
+        steps.append(c)
+    us = (int(hashlib.md5(f"{seed}|{doc}|part|{j}".encode()).hexdigest()[:13], 16) / 16**13 for j in range(1, parts + 1))
+    return sum(bisect.bisect_right(steps, u) for u in us)
+
+
+def test_a_source_of_one_row_among_a_million(spark):
+    """Its rate is half a million; it still gets its share."""
+    n = 1_000_000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 77, "rare").otherwise("large").alias("source"))
+    rows = {r["source"]: r for r in mix_sources(df).groupBy("source").agg(F.count("*").alias("n"), F.max("copy_no").alias("last"), F.countDistinct("doc_id", "copy_no").alias("d"), F.max("repeats").alias("r")).collect()}
+    rare = rows["rare"]
+    assert rare["n"] == rare["d"] == rare["r"] == rare["last"] + 1 == brute_parts(77, n / 2)
+    assert rare["n"] == pytest.approx(n / 2, rel=0.01) and rows["large"]["n"] == pytest.approx(n / 2, rel=0.01)
+
+
 @pytest.mark.parametrize("name", ["op1_url_filters", "op4_mix_sources"])
 def test_sql(spark, name):
     module = url_filters if name.startswith("op1") else mixing
