@@ -3,7 +3,7 @@
 Vectors are dealt into blocks of a fixed size. In a block every tree is one sorted array of long hash
 strings (signs of random projections): a logical prefix tree, without pointers. A query descends each tree to its
 longest matching prefix and then all trees ascend together, one bit at a time, until the prefixes that
-still match hold enough candidates. Candidates are scored exactly. Because a block's size and the share of
+still match hold enough entries and enough distinct candidates. Candidates are scored exactly. Because a block's size and the share of
 it that becomes candidates are fixed, recall doesn't depend on how many blocks there are.
 
 Inner products become angles by one more coordinate, sqrt(M^2 - |x|^2) with M the largest length in the
@@ -27,6 +27,8 @@ BITS = 32
 BLOCK = 8_192
 #: Ascending stops when the matching prefixes of all trees hold this many entries for each vector in the block.
 FILL = 0.9
+#: And when at least so many distinct vectors for each neighbour wanted are candidates, or all in the block.
+DISTINCT = 16
 QUERIES_AT_ONCE = 256
 #: Of vectors that are equal in every component only so many smallest ids can be among the nearest k.
 SPARE = 1
@@ -52,8 +54,11 @@ class Forest:
         signs = (x @ planes > 0).astype(np.uint64)
         return (signs << np.arange(self.bits - 1, -1, -1, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
-    def candidates(self, q: np.ndarray, least: int) -> np.ndarray:
-        """A bool for each query and vector: whether the ascent from the query's deepest prefixes reaches it."""
+    def candidates(self, q: np.ndarray, least: int, distinct: int = 0) -> np.ndarray:
+        """A bool for each query and vector: whether the ascent from the query's deepest prefixes reaches it.
+
+        It ends when ``least`` entries match and ``distinct`` vectors besides the query's own (or all there are).
+        """
         n, asked = len(self.x), len(q)
         lifted = np.column_stack([q, np.zeros(asked)])
         codes = [self._code(lifted, p) for p in self.planes]
@@ -68,11 +73,15 @@ class Forest:
                 size += b - a
             level[open_[(size >= least) | (depth == 0)]] = depth
         mask = np.zeros((asked, n), bool)
-        for depth in np.unique(level):
-            rows = np.flatnonzero(level == depth)
-            for code, order, own in zip(self.codes, self.order, codes, strict=True):
-                for i, a, b in zip(rows, *self._range(code, own[rows], int(depth)), strict=True):
-                    mask[i, order[a:b]] = True
+        todo, need = np.arange(asked), min(n, distinct + 1)  # one of them may be the query's own
+        while len(todo):
+            for depth in np.unique(level[todo]):
+                rows = todo[level[todo] == depth]
+                for code, order, own in zip(self.codes, self.order, codes, strict=True):
+                    for i, a, b in zip(rows, *self._range(code, own[rows], int(depth)), strict=True):
+                        mask[i, order[a:b]] = True
+            todo = todo[(mask[todo].sum(axis=1) < need) & (level[todo] > 0)]
+            level[todo] -= 1
         return mask
 
     def _range(self, code: np.ndarray, own: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +116,7 @@ class _Block:
 
     def nearest(self, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[list, list, list]:
         x, out = self.forest.x, ([], [], [])
-        mask = self.forest.candidates(q, math.ceil(FILL * len(x)))
+        mask = self.forest.candidates(q, math.ceil(FILL * len(x)), DISTINCT * k)
         fast = (q.astype(np.float32) @ x.astype(np.float32).T).astype(np.float64)
         # how far a float32 product can be from the true one
         slack = 1e-6 * x.shape[1] * np.sqrt(np.einsum("ij,ij->i", q, q)) * math.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0.0))

@@ -86,3 +86,17 @@ def test_copies_ties_and_edges(spark):
     assert {q: len(v) for q, v in found(search(few, few.where("vec_id % 20 = 0"), 20)).items()} == {0: 2, 20: 2}
     assert search(df.where(F.lit(False)), df).count() == 0
     assert search(df, df.where(F.lit(False))).count() == 0
+
+
+def test_few_vectors_and_near_copies(spark):
+    """A query whose own vector, or near copies of it, fill the share of entries still gets its neighbours."""
+    rng = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = unit(np.repeat(rng.standard_normal((60, 64)), 15, axis=0) + 0.01 * rng.standard_normal((900, 64)))
+    for x, least in ((unit(rng.standard_normal((3, 64))), 1.0), (unit(rng.standard_normal((50, 64))), 1.0), (unit(rng.standard_normal((100, 64))), 1.0), (near, 0.9)):
+        rows = [(i, v.tolist()) for i, v in enumerate(x)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got, want = found(search(df, df.where("vec_id % 20 = 0"))), brute(rows, 20)
+        assert {q: len(v) for q, v in got.items()} == {q: len(w) for q, w in want.items()}
+        assert recall(got, want) >= least, (len(x), recall(got, want))
+        print("recall", len(x), recall(got, want))
