@@ -38,9 +38,14 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 #: A JSON object begins with a brace and a quote or white space, so its base64 begins with ew or ey.
 TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])(e[wy][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{3,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{32}")
-BLOB = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}+={0,2}(?![A-Za-z0-9+/_=-])")
-HEX_BLOB = re.compile(r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{2}){40,}+(?![0-9A-Za-z])")
-ARMOUR = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----([A-Za-z0-9+/=\s]{40,}+)-----END [A-Z0-9 ]*PRIVATE KEY-----")
+#: A value may follow the equals sign of its name; names joined to it by other delimiters are cut off in key_in.
+BLOB = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+={0,2}(?![A-Za-z0-9+/_=-])")
+HEX_BLOB = re.compile(r"(?<![0-9A-Za-z])(?:0[xX])?((?:[0-9A-Fa-f]{2}){40,}+)(?![0-9A-Za-z])")
+#: Lines may end in literal \n or \r, as in JSON and env strings, and a slash may be escaped.
+ARMOUR = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----((?:[A-Za-z0-9+/=\s]++|\\+[nrt/])++)-----END [A-Z0-9 ]*PRIVATE KEY-----")
+ESCAPED = re.compile(r"\\+[nrt]")
+#: Where a key can begin after a delimiter: the base64 of a DER sequence or of the OpenSSH magic.
+BEGIN = re.compile(r"(?<=[+/_-])(?=M[A-P]|b3BlbnNzaC1rZXktdjEA)")
 
 
 def unbase64(text: str) -> bytes | None:
@@ -136,6 +141,23 @@ def holds_key(data: bytes | None) -> bool:
     return bool(data) and (is_private_der(data) or is_openssh_key(data))
 
 
+def key_in(run: str) -> int | None:
+    """Where in a base64 run a key begins that fills it to the end: at its start, or after a delimiter."""
+    if holds_key(unbase64(run)):
+        return 0
+    size = len(run.rstrip("="))
+    for m in BEGIN.finditer(run):
+        at = m.start()
+        if run[at] == "M":  # the outer length must fit before the rest is decoded
+            head, total = unbase64(run[at : at + 8]) or b"", (size - at) * 3 // 4
+            n = head[1] & 0x7F if len(head) > 1 and head[1] & 0x80 else 0
+            if len(head) < 6 or n > 4 or 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1]) != total:
+                continue
+        if holds_key(unbase64(run[at:])):
+            return at
+    return None
+
+
 def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, end exclusive, by start and then by KINDS; a span of one kind only once."""
     text = text or ""
@@ -147,12 +169,11 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     if not RUN.search(text):  # none of the other patterns can match without one
         return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
     found |= {("hex", *m.span()) for m in HEX.finditer(text)}
-    found |= {("key", *m.span()) for m in ARMOUR.finditer(text) if holds_key(unbase64(m[1]))}
+    found |= {("key", *m.span()) for m in ARMOUR.finditer(text) if holds_key(unbase64(ESCAPED.sub("", m[1]).replace("\\", "")))}
     inside = [(a, b) for k, a, b in found if k == "key"]
-    for pattern, decode in ((BLOB, unbase64), (HEX_BLOB, bytes.fromhex)):
-        for m in pattern.finditer(text):
-            if holds_key(decode(m[0])) and not any(a <= m.start() and m.end() <= b for a, b in inside):
-                found.add(("key", *m.span()))
+    keys = {(m.start() + at, m.end()) for m in BLOB.finditer(text) if (at := key_in(m[0])) is not None}
+    keys |= {m.span(1) for m in HEX_BLOB.finditer(text) if holds_key(bytes.fromhex(m[1]))}
+    found |= {("key", *k) for k in keys if not any(a <= k[0] and k[1] <= b for a, b in inside)}
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

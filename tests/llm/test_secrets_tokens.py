@@ -102,3 +102,25 @@ def test_token_counts(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     for r in op6_token_counts(spark, "/root/testdata/sf0.001").collect():
         assert (r["n_tokens"], r["over_limit"]) == (want(docs[r["doc_id"]]), want(docs[r["doc_id"]]) > 512)
+
+
+def test_keys_in_common_places():
+    """NAME=value, flags, addresses, joined names, literal line ends and 0x; spans hold the key alone."""
+    rng = random.Random(6)
+    for _ in range(20):
+        der = rsa(rng)
+        b64 = base64.b64encode(der).decode()
+        ssh = base64.b64encode(openssh(rng)).decode()
+        safe = base64.urlsafe_b64encode(der).decode().rstrip("=")
+        for before in ("PRIVATE_KEY=", "https://a.b/?key=", "--key=", "--key-", "a_", "x/", "key: ", 'k="'):
+            for key in (b64, safe, ssh):
+                text = f"some text {before}{key} more"
+                assert [x for x in find_secrets(text) if x[0] == "key"] == [("key", 10 + len(before), 10 + len(before) + len(key))], before
+        for end in ("\\n", "\\r\\n", "\\\\n", "\n"):
+            lines = end.join(b64[i : i + 64] for i in range(0, len(b64), 64))
+            pem = f"-----BEGIN PRIVATE KEY-----{end}{lines}{end}-----END PRIVATE KEY-----"
+            for text in (f'{{"private_key": "{pem}{end}"}}', f"K={pem}".replace("/", "\\/")):
+                assert sum(k == "key" for k, _, _ in find_secrets(text)) == 1
+        assert ("key", 4, 4 + len(der.hex())) in find_secrets(f"= 0x{der.hex()};")
+    for harmless in ("PRIVATE_KEY=" + base64.b64encode(rng.randbytes(300)).decode(), "0x" + rng.randbytes(60).hex(), "a-M" + "A" * 200):
+        assert not any(k == "key" for k, _, _ in find_secrets(harmless))
