@@ -35,8 +35,11 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every source gets an equal share of as many rows as there are; repeated documents are repeated rows."""
-    return mix_sources(docs).select(*docs.columns)
+    """Every source gets an equal share of as many rows as there are; repeated documents are repeated rows.
+
+    Rows without a word go first: the quality rules let none in, so the line dedup emptied them as copies.
+    """
+    return mix_sources(docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

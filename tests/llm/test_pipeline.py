@@ -64,3 +64,15 @@ def test_run_and_edges(spark):
     for frame in (odd, docs.where(F.lit(False))):
         for name, stage in corpus_pipeline.STAGES:
             stage(spark, frame, SF).collect(), json.dumps(name), np
+
+
+def test_emptied_copies_are_not_mixed(spark):
+    """A third of the rows are copies of one text; the line dedup empties all but one and none of these is mixed."""
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    text = lambda k: "\n".join(f"line {i} of the text number {k} with words" for i in range(8))
+    rows = [(i, text(0 if i % 3 == 0 else i), "en", f"s{i % 2}", None) for i in range(60)]
+    stages = dict(corpus_pipeline.STAGES)
+    emptied = stages["line_dedup"](spark, spark.createDataFrame(rows, schema), SF)
+    assert emptied.where("text = ''").count() == 19
+    mixed = stages["mixing"](spark, emptied, SF).collect()
+    assert mixed and all(r["text"].strip() for r in mixed)
