@@ -37,8 +37,12 @@ SYNONYMS: Mapping[str, Sequence[str]] = {
 
 # Lines that are page furniture, matched on the lower-cased line.
 NOISE_LINES = (r"^compartilhe:?$", r"^leia tamb[eé]m:?$", r"^veja tamb[eé]m:?$", r"^ou[cç]a:?$", r"^publicidade$")
-#: Known residues of pages: a share-bar link; more can be given to remove_boilerplate.
-BOILERPLATE = (r"(?im)^\[Pular barra de compartilhamento\]\(\s*#main-content\s*\)\s*$",)
+#: Known residues of pages: a share-bar link, and the block that ends a page with a radio programme's name in bold, the
+#: same name as a link, and the network it is on air on. More can be given to remove_boilerplate.
+BOILERPLATE = (
+    r"(?im)^\[Pular barra de compartilhamento\]\(\s*#main-content\s*\)\s*$",
+    r"(?ims)^[ \t]*---[ \t]*\n\s*\*\*([^*\n]+)\*\*[ \t]*\n\s*\[\1\]\(https?://[^)\s]+\)\s+no ar veiculado pela Rede .*\Z",
+)
 INVISIBLE = "​‌‍⁠﻿"
 # What UTF-8 looks like after a wrong decoding.
 MOJIBAKE = ("Ã", "Â", "â€", "â€“", "â€”", "â€˜", "â€™", "â€œ", "â€�")
@@ -88,7 +92,8 @@ def strip(text: Column) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    """Every run of white space as one space, none at the ends; single spaces are left alone."""
+    return F.trim(F.regexp_replace(text, r"(?U) \s+|[\s&&[^ ]]\s*", " "))
 
 
 def casefold(text: Column) -> Column:
@@ -126,11 +131,14 @@ def paragraph_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, "\n\n"), lambda p: strip(p) != ""))
 
 
+#: The noise lines as one pattern over a line that is trimmed and short.
+_NOISE_LINE = "(?iu)" + "|".join(NOISE_LINES)
+_LONGEST_NOISE = 20
+
+
 def is_noise_line(line: Column) -> Column:
-    low, out = F.lower(strip(line)), F.lit(False)
-    for pattern in NOISE_LINES:
-        out = out | low.rlike(pattern)
-    return out
+    bare = strip(line)
+    return (F.length(bare) <= _LONGEST_NOISE) & bare.rlike(_NOISE_LINE)
 
 
 def remove_boilerplate(text: Column, patterns: Sequence[str] = BOILERPLATE) -> Column:
@@ -142,14 +150,18 @@ def remove_boilerplate(text: Column, patterns: Sequence[str] = BOILERPLATE) -> C
 def normalize_markdown(text: Column) -> Column:
     """Clean Markdown: images and empty links go, white space is squeezed, noise lines go. Entities and wrongly
     decoded characters are repaired before by repair_exact where a text holds any."""
-    for pattern, new in (
-        (r"\r\n?", "\n"), ("\xa0", " "), (r"!\[[^\]]*]\([^)]*\)", ""), (r"(?i)\[([^\]]+)]\(\s*(?:#|javascript:[^)]+)\)", "$1"),
-        (r"[ \t]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"),
-    ):
-        text = F.regexp_replace(text, pattern, new)
-    lines = F.transform(F.split(text, "\n"), strip)
-    kept = F.filter(lines, lambda x: ~is_noise_line(x))
-    return strip(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
+    plain = F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\r\xa0\t", "\n  ")
+    bracketed = F.regexp_replace(F.regexp_replace(plain, r"!\[[^\]]*]\([^)]*\)", ""), r"(?i)\[([^\]]+)]\(\s*(?:#|javascript:[^)]+)\)", "$1")
+    spaced = F.regexp_replace(F.when(F.contains(text, F.lit("](")), bracketed).otherwise(plain), " {2,}", " ")
+    kept = F.filter(F.transform(F.split(spaced, "\n"), _trim), lambda x: ~((F.length(x) <= _LONGEST_NOISE) & x.rlike(_NOISE_LINE)))
+    # what a noise line leaves and what was there before become one blank line at most
+    return F.btrim(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"), F.lit("\n"))
+
+
+def _trim(line: Column) -> Column:
+    """strip(), by a pattern only where something other than a space stands at an end."""
+    bare = F.trim(line)
+    return F.when(bare.rlike(r"(?U)^\s|\s$"), strip(bare)).otherwise(bare)
 
 
 def clean_author(text: Column) -> Column:

@@ -1,8 +1,8 @@
 """Queries over the driver's tables, with the same questions in SQL.
 
-The tables stand for the lake: documents are Gold chunks (id = doc_id, texto = text, titulo = the first 60
-characters of the first line, categoria = lang, source_object = source, one address per source), the first
-eight distinct tokens of a benchmark item are a question, and text is embedded by hashing.
+The tables stand for the lake: documents are Gold chunks (id = doc_id, texto = text, titulo = the first line,
+categoria = lang, source_object = source, one address per source), the whole text of a benchmark item is a
+question, and text is embedded by hashing.
 """
 
 from __future__ import annotations
@@ -24,12 +24,20 @@ from loamlake.plans.engine import Engine
 CONFIG = RetrievalConfig(author_weight=0.0)
 
 
+#: Tables of texts up to this size (as Spark estimates it) are dealt to all cores; larger ones have row groups enough.
+SMALL = 256 << 20
+
+
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A table; a small one of long texts is dealt over all cores, as its one row group would be one task."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    if name in ("documents", "pages") and df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= SMALL:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    title = F.substring(F.substring_index("text", "\n", 1), 1, 60)
+    title = F.substring_index("text", "\n", 1)
     return read(spark, sf, "documents").select(
         F.col("doc_id").alias("id"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("documento_id"), title.alias("titulo"), F.col("text").alias("texto"),
         F.concat(F.lit("https://"), "source", F.lit(".example/")).alias("url"), F.col("lang").alias("categoria"), F.col("source").alias("source_object"),
@@ -37,8 +45,7 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
-    first = F.slice(F.array_distinct(tokenize(F.col("text"))), 1, 8)
-    return read(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(first, " ").alias("question"))
+    return read(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
 
 def engine(spark: SparkSession, sf: str) -> Engine:
@@ -152,11 +159,10 @@ def _tok(x: str) -> str:
 
 #: d: chunks; q: questions with terms (no synonym occurs in them that has another entry than these tables hold).
 _BASE = f"""
-d AS (SELECT doc_id AS id, 'doc_' || doc_id AS documento_id, substr(split_part(text, chr(10), 1), 1, 60) AS titulo, text AS texto, lang AS categoria, 'https://' || source || '.example/' AS url FROM documents),
+d AS (SELECT doc_id AS id, 'doc_' || doc_id AS documento_id, split_part(text, chr(10), 1) AS titulo, text AS texto, lang AS categoria, 'https://' || source || '.example/' AS url FROM documents),
 tk AS (SELECT id, {_tok('titulo')} AS t1, {_tok('categoria')} AS t2, {_tok('texto')} AS t3 FROM d),
 qt AS (SELECT item_id AS qid, {_tok('text')} AS t FROM benchmark),
-q0 AS (SELECT qid, ({_DISTINCT.format('t')})[1:8] AS eight FROM qt),
-q AS (SELECT qid, array_to_string(eight, ' ') AS question, list_filter(eight, lambda x: x NOT IN ({_STOP})) AS terms FROM q0)"""
+q AS (SELECT qid, t, list_filter({_DISTINCT.format('t')}, lambda x: x NOT IN ({_STOP})) AS terms FROM qt)"""
 _LEX = """
 w AS (SELECT id, unnest(t1) AS term, 3.0 AS w FROM tk UNION ALL SELECT id, unnest(t2), 1.5 FROM tk UNION ALL SELECT id, unnest(t3), 1.0 FROM tk),
 tf AS (SELECT id, term, sum(w)::DOUBLE AS tf FROM w GROUP BY ALL),
@@ -175,7 +181,7 @@ def _counts(rows: str, key: str) -> str:
 
 _VEC = f"""
 dv AS ({_counts('(SELECT id, unnest(t3) AS term FROM tk)', 'id')}),
-qv AS ({_counts(f"(SELECT qid, unnest({_tok('question')}) AS term FROM q)", 'qid')}),
+qv AS ({_counts('(SELECT qid, unnest(t) AS term FROM q)', 'qid')}),
 dn AS (SELECT id, sum(v * v) AS n FROM dv GROUP BY id HAVING sum(v * v) > 0),
 qn AS (SELECT qid, sum(v * v) AS n FROM qv GROUP BY qid HAVING sum(v * v) > 0),
 vs AS (SELECT qn.qid, dn.id, round(coalesce(dot, 0) / sqrt(qn.n * dn.n), 9) AS score_vector FROM qn CROSS JOIN dn LEFT JOIN (SELECT qid, id, sum(qv.v * dv.v) AS dot FROM qv JOIN dv USING (d) GROUP BY qid, id) x ON x.qid = qn.qid AND x.id = dn.id),

@@ -13,7 +13,7 @@ from loamlake.sources import pages
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    title = F.substring(F.substring_index("text", "\n", 1), 1, 60)
+    title = F.substring_index("text", "\n", 1)
     return read(spark, sf, "documents").select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("documento_id"), title.alias("titulo"), F.col("lang").alias("categoria"),
         F.concat(F.lit("https://"), "source", F.lit(".example/"), F.col("doc_id").cast("string")).alias("url"), F.concat("source", F.when(F.col("doc_id") % 4 == 0, ".pdf").otherwise(".json")).alias("source_object"), F.col("text").alias("texto"),
@@ -189,7 +189,7 @@ def chunks_per_document(spark: SparkSession, sf: str) -> DataFrame:
 
 _WS = r"[\s\x0b\x{85}\x{a0}]"
 _STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
-_D = "d AS (SELECT doc_id, 'doc_' || doc_id AS documento_id, substr(split_part(text, chr(10), 1), 1, 60) AS titulo, lang AS categoria, 'https://' || source || '.example/' || doc_id AS url, source || CASE WHEN doc_id % 4 = 0 THEN '.pdf' ELSE '.json' END AS source_object, text AS texto FROM documents)"
+_D = "d AS (SELECT doc_id, 'doc_' || doc_id AS documento_id, split_part(text, chr(10), 1) AS titulo, lang AS categoria, 'https://' || source || '.example/' || doc_id AS url, source || CASE WHEN doc_id % 4 = 0 THEN '.pdf' ELSE '.json' END AS source_object, text AS texto FROM documents)"
 _CH = f"""b AS (SELECT *, {_STRIP.format('texto')} AS body FROM d),
 w AS (SELECT *, unnest(range(CASE WHEN length(body) <= 1200 THEN 1 ELSE ceil((length(body) - 1200) / 1000.0)::BIGINT + 1 END)) AS i FROM b),
 p AS (SELECT *, {_STRIP.format('substr(body, (i * 1000 + 1)::BIGINT, 1200)')} AS piece FROM w),
