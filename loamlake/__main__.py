@@ -34,8 +34,10 @@ def main() -> None:
     from loamlake.plans.config import AnswerConfig, EvidenceConfig, RetrievalConfig
     from loamlake.plans.engine import Engine
     from loamlake.plans.load import LoadRequest, run_pipeline
+    from loamlake.ship import ship_code
 
     spark = SparkSession.builder.appName("loamlake").getOrCreate()
+    ship_code(spark)
     if args.command == "load":
         rows = run_pipeline(spark, LoadRequest(args.path, args.source, args.kind, args.limit, load_vectors=not args.no_vectors))
     else:

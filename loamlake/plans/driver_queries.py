@@ -51,8 +51,9 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 def engine(spark: SparkSession, sf: str) -> Engine:
     docs = chunks(spark, sf)
     # in the lake these are stored; here they are made once for all that reads them
-    vectors = embed_documents(docs, "id", "texto").persist(StorageLevel.DISK_ONLY)
-    return Engine(docs, vectors, CONFIG)
+    made = Engine(docs, embed_documents(docs, "id", "texto"), CONFIG)
+    made.keep(made.vectors, StorageLevel.DISK_ONLY)
+    return made
 
 
 def asked(spark: SparkSession, sf: str) -> DataFrame:

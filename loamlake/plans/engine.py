@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import Self
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -39,6 +40,27 @@ class Engine:
     answer: AnswerConfig = field(default_factory=AnswerConfig)
     embedder: HashingEmbedder = field(default_factory=HashingEmbedder)
     _index: LexicalIndex | None = None
+    _kept: list[DataFrame] = field(default_factory=list)
+
+    def __enter__(self) -> Self:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Lets go of the index and of what was kept for questions; their results can't be read any more without being made anew."""
+        for df in self._kept:
+            df.unpersist()
+        self._kept.clear()
+        if self._index is not None:
+            self._index.close()
+            self._index = None
+
+    def keep(self, df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
+        """df held until close()."""
+        self._kept.append(df.persist(level))
+        return df
 
     @property
     def index(self) -> LexicalIndex:
@@ -76,7 +98,7 @@ class Engine:
         """(questions with terms, classified hits, one decision per question)."""
         asked = self.prepare(questions)
         # a few rows for each question, read by the decision, the context and the public sources
-        classified = classify(self.search(asked, top_k, mode).join(asked.select("qid", "terms"), "qid"), self.evidence).persist(StorageLevel.MEMORY_AND_DISK)
+        classified = self.keep(classify(self.search(asked, top_k, mode).join(asked.select("qid", "terms"), "qid"), self.evidence))
         return asked, classified, decide(asked, classified, self.evidence)
 
     def ask(self, questions: DataFrame, top_k: int = TOP_K, mode: str = "hybrid", provider: AnswerProvider | None = None) -> DataFrame:
