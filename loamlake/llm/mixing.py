@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamlake.llm.common import free_name, md5_uniform, table
+from loamlake.llm.common import cut, free_name, md5_uniform, table
 
 #: A source without a stated weight counts as one share; the registered query states none: all sources equal.
 DEFAULT_WEIGHT = 1.0
@@ -25,7 +25,8 @@ PART = 500
 #: Copies of a row are numbered in runs of so many, so that no array grows with the rate.
 RUN = 1_000
 
-#: Only so few sources are sent to every executor; more are joined by a shuffle.
+#: At most so many sources are sent to every executor. Of more, those with this share of all rows or more, which
+#: can't be more either; the others, none of them large, are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
 
 
@@ -46,18 +47,22 @@ def rate_parts(rate: Column) -> Column:
     return F.when(rate > LARGEST, F.ceil(rate / PART).cast("int")).otherwise(F.lit(1))
 
 
-def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, total: int | None = None, source: str = "source") -> tuple[DataFrame, int]:
-    """(source, n, rate) of every source, and how many sources there are; a null source is one of its own.
+def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, total: int | None = None, source: str = "source") -> tuple[DataFrame, int, int]:
+    """(source, n, rate) of every source, how many sources there are, and how many rows; a null source is one of its own.
 
-    weights: shares by source, DEFAULT_WEIGHT for any other. total: rows wanted, by default as many as there are.
+    weights: shares by source, none negative, DEFAULT_WEIGHT for any other; if all are 0 every rate is 0.
+    total: rows wanted, by default as many as there are.
     """
+    if any(not share >= 0 for share in (weights or {}).values()) or (total is not None and total < 0):
+        raise ValueError("weights and total must not be negative")
     w = F.lit(DEFAULT_WEIGHT)
     for name, share in (weights or {}).items():
         w = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(share))).otherwise(w)
     sizes = docs.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n")).withColumn("w", w)
     whole = sizes.agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).first()
     want = float(whole["n"] or 0 if total is None else total)
-    return sizes.select("source", "n", (F.col("w") / F.lit(whole["w"]) * F.lit(want) / F.col("n")).alias("rate")), whole["k"]
+    rate = F.col("w") / F.lit(whole["w"]) * F.lit(want) / F.col("n") if whole["w"] else F.lit(0.0)
+    return sizes.select("source", "n", rate.alias("rate")), whole["k"], whole["n"] or 0
 
 
 def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, total: int | None = None, seed: str = SEED, source: str = "source", key: str = "doc_id", partitions: int | None = None) -> DataFrame:
@@ -68,15 +73,26 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, tot
     rows with equal keys draw alike. Columns named copy_no or repeats are replaced. Empty in, empty out.
     """
     docs = docs.drop("copy_no", "repeats")
-    steps, parts, src, mix, run = (free_name(docs, x) for x in ("steps", "mix_parts", "mix_source", "mix_key", "mix_run"))
-    rates, found = source_rates(docs, weights, total, source)
-    rates = rates.select(F.col("source").alias(src), rate_parts(F.col("rate")).alias(parts), poisson_steps(F.col("rate") / rate_parts(F.col("rate"))).alias(steps))
+    steps, parts, src, mix, run, draw = (free_name(docs, f"mix_{x}") for x in ("steps", "parts", "source", "key", "run", "draw"))
+    rates, found, rows = source_rates(docs, weights, total, source)
     name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    drawing = docs.withColumn(draw, md5_uniform(F.lit(seed), name))
+
+    def met(left: DataFrame, right: DataFrame, small: bool, how: str = "inner") -> DataFrame:
+        r = right.select(F.col("source").alias(src), rate_parts(F.col("rate")).alias(parts), poisson_steps(F.col("rate") / rate_parts(F.col("rate"))).alias(steps))
+        return left.join(F.broadcast(r) if small else r, left[source].eqNullSafe(r[src]), how)
+
+    if found <= BROADCAST_SOURCES:
+        drawn = met(drawing, rates, True)
+    else:
+        rates = cut(rates)
+        large = rates.where(F.col("n") * BROADCAST_SOURCES >= rows)
+        rest = met(met(drawing, large, True, "left_anti"), rates.where(F.col("n") * BROADCAST_SOURCES < rows), False)
+        drawn = met(drawing, large, True).unionByName(rest)
     below = lambda u: F.size(F.filter(steps, lambda c: c <= u))
     us = F.transform(F.sequence(F.lit(1), F.col(parts)), lambda j: md5_uniform(F.lit(seed), name, F.lit("part"), j.cast("string")))
     drawn_parts = F.aggregate(us, F.lit(0), lambda n, u: n + below(u))
-    drawn = docs.join(F.broadcast(rates) if found <= BROADCAST_SOURCES else rates, docs[source].eqNullSafe(F.col(src)))
-    drawn = drawn.withColumn("repeats", F.when(F.col(parts) > 1, drawn_parts).otherwise(below(md5_uniform(F.lit(seed), name)))).drop(steps, parts, src).where("repeats > 0")
+    drawn = drawn.withColumn("repeats", F.when(F.col(parts) > 1, drawn_parts).otherwise(below(F.col(draw)))).drop(steps, parts, src, draw).where("repeats > 0")
     runs = drawn.withColumn(run, F.explode(F.sequence(F.lit(0), F.col("repeats") - 1, F.lit(RUN))))
     copies = runs.withColumn("copy_no", F.explode(F.sequence(F.col(run), F.least(F.col(run) + RUN, F.col("repeats")) - 1))).drop(run)
     copies = copies.withColumn(mix, F.md5(F.concat_ws("|", F.lit(seed), F.lit("place"), name, F.col("copy_no").cast("string"))))

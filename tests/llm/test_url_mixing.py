@@ -144,6 +144,30 @@ def test_a_source_of_one_row_among_a_million(spark):
     assert rare["n"] == pytest.approx(n / 2, rel=0.01) and rows["large"]["n"] == pytest.approx(n / 2, rel=0.01)
 
 
+def test_many_sources_equal_few(spark, monkeypatch):
+    """Beyond the bound only large sources are sent out; the rows are the same."""
+    rows = [(i, "hot" if i % 3 == 0 else None if i % 31 == 0 else f"s{i % 40}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    few = sorted((r["doc_id"], r["copy_no"], r["repeats"]) for r in mix_sources(df).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10)
+    assert sorted((r["doc_id"], r["copy_no"], r["repeats"]) for r in mix_sources(df).collect()) == few
+
+
+@pytest.mark.parametrize("rare", [1, 2])
+def test_computed_source_and_rare_ones(spark, rare):
+    """A source computed from the id, of which one value has a row or two among 10,000."""
+    df = spark.range(10_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < rare, "rare").otherwise("large").alias("source"))
+    rows = mix_sources(df).groupBy("source").count().collect()
+    assert {r["source"]: r["count"] for r in rows}["rare"] == pytest.approx(5_000, rel=0.05)
+
+
+def test_weights(spark):
+    df = spark.range(10).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"))
+    with pytest.raises(ValueError):
+        mix_sources(df, {"a": -1.0})
+    assert mix_sources(df, {"a": 0.0}).count() == 0 and mix_sources(df, total=0).count() == 0
+
+
 @pytest.mark.parametrize("name", ["op1_url_filters", "op4_mix_sources"])
 def test_sql(spark, name):
     module = url_filters if name.startswith("op1") else mixing
