@@ -137,10 +137,15 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] | DataFrame, edges: DataF
         return judged.withColumn("via_alias", F.lit(False)).withColumn("verdict", F.coalesce("verdict", F.lit(default)))
     parts = cut(members.withColumn("mh", F.regexp_extract("node", r"(?s)^([^/?]*)", 1)).withColumn("mp", F.regexp_extract("node", r"(?s)^[^/?]*([^?]*)", 1)))
     bad = match_rules(parts, rules, "mh", "mp", "hit").where("hit.verdict = 'block'").select("component").distinct()
-    bad = parts.join(bad, "component", "left_semi").select(F.col("node").alias(node), F.lit(True).alias("via_alias"))
-    judged = judged.withColumn(node, F.when(F.col("verdict").isNull(), node_of(F.col(url)))).join(bad, node, "left").drop(node)
-    blocked = F.coalesce("via_alias", F.lit(False)) & F.col("verdict").isNull()
-    return judged.withColumn("via_alias", blocked).withColumn("verdict", F.coalesce("verdict", F.when(blocked, F.lit("block")), F.lit(default)))
+    # written, so that the join has a shuffle of its own on either side and Spark can split an address of many rows
+    bad = cut(parts.join(bad, "component", "left_semi").select(F.col("node").alias(node), F.lit(True).alias("via_alias")))
+    # rows that a rule decides, or that have no address, take no part in the join: their null keys would be one task
+    judged = judged.withColumn(node, F.when(F.col("verdict").isNull(), node_of(F.col(url))))
+    settled = judged.where(F.col(node).isNull()).drop(node).withColumn("via_alias", F.lit(False))
+    asked = judged.where(F.col(node).isNotNull()).join(bad, node, "left").drop(node)
+    asked = asked.withColumn("via_alias", F.coalesce("via_alias", F.lit(False)))
+    asked = asked.withColumn("verdict", F.when(F.col("via_alias"), F.lit("block")))
+    return settled.unionByName(asked).withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,28 @@ def test_verdicts(spark, pages):
     assert judge_urls(pages.limit(0), QUERY_RULES).count() == 0
 
 
+def test_decided_rows_stay_out_of_the_join(spark, pages):
+    """No null key is shuffled, with many aliases as with few."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = judge_urls(pages, QUERY_RULES)
+        assert "isnotnull(alias_node" in out._jdf.queryExecution().optimizedPlan().toString()
+        assert {r["page_id"] for r in out.where("via_alias").collect()} == {4, 5, 6}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_aliases_of_real_pages(spark):
+    """Pages of the table that declare the next page as their canonical form, in chains that end in blocked addresses."""
+    real = spark.read.parquet(f"{SF}/pages.parquet").orderBy("page_id").collect()
+    rows = [(r["page_id"], f"http://h{r['page_id']}.org/p", f"<link href='http://h{r['page_id'] + 1}.org/p' rel=canonical>" + (r["html"] or "")) for r in real[:120]]
+    rows = [(i, u, h.replace(f"h{i + 1}.org/p", "shop.net/es/x") if i % 10 == 9 else h) for i, u, h in rows]
+    out = {r["page_id"]: r["verdict"] for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), QUERY_RULES).collect()}
+    # every chain of ten reaches a blocked address, but for what comes after the last
+    last = max(i for i, _, _ in rows if i % 10 == 9)
+    assert out == {i: "block" if i <= last else "allow" for i, _, _ in rows}
+
+
 def test_many_rules_equal_few(spark, pages):
     few = match_rules(pages.withColumn("h", url_filters.host_of(F.col("url"))).withColumn("p", url_filters.path_of(F.col("url"))).select("page_id", "h", "p"), QUERY_RULES, "h", "p", "out")
     table = spark.createDataFrame([*QUERY_RULES, Rule("block", "unused.org", "/")], "verdict string, host string, path string")
