@@ -65,7 +65,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     base = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("did"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
     found = _hashed_chunks(base)
     place = F.struct("did", "th", "pos")
-    repeated = found.groupBy("hash").agg(F.min(place).alias("one"), F.max(place).alias("last")).where("one <> last").select("hash", "one")
+    # written before the join: a small table is sent out, and for a large one the join has a shuffle of its own on
+    # either side, so that Spark can split a chunk that a large share of all texts holds
+    repeated = cut(found.groupBy("hash").agg(F.min(place).alias("one"), F.max(place).alias("last")).where("one <> last").select("hash", "one"))
     again = found.join(repeated, "hash").select("did", "th", F.struct("start", "size", "pos", "hash", (place == F.col("one")).alias("first")).alias("c"))
     marked = again.groupBy("did", "th").agg(F.collect_set("c").alias("cs"))
     # only texts that hold a repeated chunk meet their own text again, and only those chunks go on
@@ -73,7 +75,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     body = lambda c: F.encode(F.array_join(F.slice("lines", c["start"] + 1, c["size"]), "\n"), "utf-8")
     cut_out = F.transform("cs", lambda c: F.struct(c["start"], c["size"], c["pos"], c["hash"], c["first"], body(c).alias("bytes"), F.size("lines").alias("of")))
     pieces = cut(texts.select("did", "th", F.explode(cut_out).alias("c")).select("did", "th", "c.*"))
-    lead = pieces.where("first").select("hash", F.col("bytes").alias("lead")).dropDuplicates(["hash"])
+    lead = cut(pieces.where("first").select("hash", F.col("bytes").alias("lead")).dropDuplicates(["hash"]))
     compared = pieces.where("not first").join(lead, "hash")
     gone = compared.where("bytes = lead").select("did", "th", "start", "size")
     # one hash over different bytes: what isn't like the first goes by its bytes
