@@ -1,9 +1,9 @@
-"""Byte-level BPE as the tokenizers library computes it, with a fast path for common scripts.
+"""Byte-level BPE as the tokenizers library computes it, pre-token by pre-token.
 
-The library defines the result. For texts of code points whose classes no Unicode version disputes, the
-split into pre-tokens is done by ``re`` and each distinct pre-token is merged once per worker by a rank
-table read from the same file; texts with any other code point, or with a special string in them, go to the
-library as they are.
+The library defines the result. Special strings are cut out first, as it does. What lies between is split into
+pre-tokens: by ``re`` where all code points are of classes that no Unicode version disputes, else by the library's
+own pre-tokenizer. Each distinct pre-token is merged once per worker by a rank table read from the same file, so no
+text is ever encoded as a whole.
 """
 
 from __future__ import annotations
@@ -48,7 +48,11 @@ class BytePairs:
         with open(path_of(file), encoding="utf-8") as f:
             spec = json.load(f)
         self.library = Tokenizer.from_str(json.dumps(spec | {"truncation": None, "padding": None}))
-        self.specials = [t["content"] for t in spec["added_tokens"]]
+        added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        if spec.get("normalizer") or any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("only plain byte-level files without a normalizer are covered")
+        self.specials = {text: np.array([i], "<u4").tobytes() for text, i in added.items()}
+        self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         alphabet = _byte_alphabet()
         ranks = {bytes(alphabet[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in self.specials}
         self.merger = tiktoken.Encoding("merger", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
@@ -62,11 +66,22 @@ class BytePairs:
         return cls._loaded[file]
 
     def plain(self, text: str) -> bool:
-        """Whether the fast path is exact for this text."""
-        return not _OTHER.search(text) and not any(s in text for s in self.specials)
+        """Whether ``re`` splits this text as the library does."""
+        return not _OTHER.search(text)
+
+    def split(self, text: str) -> tuple[list[str], list[str]]:
+        """The pre-tokens of a text and its special strings, each in order."""
+        cut = self.special.findall(text) if self.special else []
+        parts = self.special.split(text) if cut else [text]
+        return [t for part in parts for t in self._pre_tokens(part)], cut
+
+    def _pre_tokens(self, text: str) -> list[str]:
+        if self.plain(text):
+            return SPLIT.findall(text)
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def piece(self, token: str) -> bytes:
-        """The ids of one pre-token of a plain text."""
+        """The ids of one pre-token."""
         ids = self.ids.get(token)
         if ids is None:
             ids = np.array(self.merger._core_bpe.encode_single_piece(token.encode()), "<u4").tobytes()
@@ -77,9 +92,12 @@ class BytePairs:
         return ids
 
     def encode(self, text: str) -> bytes:
-        if not self.plain(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        known, out = self.ids, []
-        for token in SPLIT.findall(text):
-            out.append(known.get(token) or self.piece(token))
+        known, out, last = self.ids, [], 0
+        marks = [*self.special.finditer(text)] if self.special else []
+        for m in [*marks, None]:
+            for token in self._pre_tokens(text[last : m.start() if m else len(text)] if marks else text):
+                out.append(known.get(token) or self.piece(token))
+            if m:
+                out.append(self.specials[m[0]])
+                last = m.end()
         return b"".join(out)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamlake.llm.bpe import DEFAULT_FILE, LONGEST, SPLIT, BytePairs
+from loamlake.llm.bpe import DEFAULT_FILE, LONGEST, BytePairs
 from loamlake.llm.common import cut, table
 
 #: The most pre-tokens, of at most LONGEST characters each, that every task holds: some 10 MB to send.
@@ -25,7 +25,7 @@ FLUSH = 400_000
 
 
 def _distinct(docs: DataFrame, file: str) -> DataFrame:
-    """(p, n): the pre-tokens of plain texts with their counts."""
+    """(p, n): the pre-tokens of all texts with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, counts = BytePairs.of(file), Counter()
@@ -38,8 +38,8 @@ def _distinct(docs: DataFrame, file: str) -> DataFrame:
         for batch in batches:
             for t in batch.column(0):
                 text = t.as_py()
-                if text and bpe.plain(text):
-                    counts.update(SPLIT.findall(text))
+                if text:
+                    counts.update(bpe.split(text)[0])
                     if len(counts) >= FLUSH:
                         yield out()
         yield out()
@@ -79,9 +79,9 @@ def _head(vocabulary: DataFrame, most: int) -> dict[str, int]:
 def count_tokens(docs: DataFrame, file: str = DEFAULT_FILE, key: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) for every row of docs, as the library counts whole texts.
 
-    A null or empty text has 0 bytes and tokens. Repeated rows and null keys get their rows. Texts beyond
-    the code points that the fast split covers, or with a special string, are counted by the library itself.
-    An empty table gives no rows; columns other than key and text are ignored.
+    A null or empty text has 0 bytes and tokens. Repeated rows and null keys get their rows. Every script goes
+    the same way; a special string in a text counts as the one token that it is. An empty table gives no rows;
+    columns other than key and text are ignored.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     vocabulary = cut(_pieces(_distinct(rows, file), file))
@@ -102,11 +102,9 @@ def count_tokens(docs: DataFrame, file: str = DEFAULT_FILE, key: str = "doc_id",
                 for rid, doc_id, t in zip(rids.slice(at, 256).to_pylist(), ids.slice(at, 256).to_pylist(), texts.slice(at, 256), strict=True):
                     text = t.as_py()
                     size = len(text.encode("utf-8", "surrogatepass"))
-                    if not bpe.plain(text):
-                        put(rid, doc_id, size, len(bpe.library.encode(text, add_special_tokens=False).ids), None, None)
-                        continue
-                    sure, rare = 0, []
-                    for p, f in Counter(SPLIT.findall(text)).items():
+                    tokens, special = bpe.split(text)
+                    sure, rare = len(special), []
+                    for p, f in Counter(tokens).items():
                         pieces = known.get(p)
                         if pieces is None:
                             rare.append((p, f))

@@ -41,6 +41,21 @@ def test_other_texts_equal_library(library, text):
     assert ids(BytePairs.of(FILE).encode(text)) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_every_script_is_split_and_never_encoded_whole(library):
+    """CJK, Cyrillic, emoji, combining marks and special strings: pre-tokens tile the text and their ids are the library's."""
+    bpe, rng = BytePairs.of(FILE), random.Random(8)
+    parts = ["漢字", "かな", " カナ", "Привет", " мир", "🙂", "👩‍👩‍👧", " é", "é", "한국어", " العربية", "١٢", "ไทย", "\u3000", "\u2028", " ", "  ", "\n", "it's", "12", "!?", "<|endoftext|>", "<|endo", "𝔘", "ﬁ", "\u00ad", "\ufeff", "\U0010ffff", "a", " b"]
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(25)))
+        assert ids(bpe.encode(text)) == library.encode(text, add_special_tokens=False).ids, text
+        tokens, special = bpe.split(text)
+        assert "".join(tokens) == text.replace("<|endoftext|>", "") and len(special) == text.count("<|endoftext|>")
+        assert sum(len(bpe.piece(t)) // 4 for t in tokens) + len(special) == len(library.encode(text, add_special_tokens=False).ids)
+    for _ in range(300):
+        text = "".join(chr(c) for c in (rng.randrange(0x110000) for _ in range(60)) if not 0xD800 <= c < 0xE000)
+        assert ids(bpe.encode(text)) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_place_minimises_sum_of_squares():
     rng, width = random.Random(5), 32
     packer, levels = SumOfSquares(width), {}

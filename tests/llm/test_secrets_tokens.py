@@ -93,6 +93,7 @@ def test_token_counts(spark):
     rng = random.Random(4)
     texts = [None, "", "a<|endoftext|>b", "漢字 🙂", "it's  we'll\n\n x" * 9, "word " * 50_000, "z" * 5_000]
     texts += ["".join(rng.choice(["a", "bc ", "é", "\n", "12", "!? ", "Straße "]) for _ in range(rng.randrange(300))) for _ in range(60)]
+    texts += ["".join(rng.choice(["漢字", " мир", "🙂", "é", "<|endoftext|>", "x ", "한국어\n"]) for _ in range(rng.randrange(80))) for _ in range(60)]
     rows = [(i, t, "p", 1) for i, t in enumerate(texts)] + [(3, texts[3], "p", 2), (None, "null id", None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, p string, rid int").repartition(3)
     for head in (0, 5, 400_000):
