@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pytest
 
-from loamlake.llm.chat_format import FEATURES, ROLES, STATES, Model, fit, format_chats, op10_chat_format, parse, parse_transcripts, render, viterbi
+from loamlake.llm import chat_format
+from loamlake.llm.chat_format import FEATURES, ROLES, STATES, Model, decode_segments, fit, fit_on, format_chats, long_conversations, observe, op10_chat_format, parse, parse_transcripts, render, to_transcripts, viterbi
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +63,51 @@ def test_edges(spark):
     parsed = {r["transcript"]: r["chat"] for r in parse_transcripts(texts, model).collect()}
     assert parsed[None]["n_lines"] == 0 and parsed[" \n "]["turns"] == [] and parsed[long]["roles"][0] == "user"
     assert parsed["no marker at all"]["roles"][0] in ROLES
+
+
+def test_segments_are_one_decoding(spark, talks, monkeypatch):
+    """Whatever the segments' size, their lines have the states that one decoding of the whole conversation gives them."""
+    rows = [(1, i, *x) for i, x in enumerate(x for t in list(talks.values())[:60] for x in t)] + [(2, i, "user" if i % 2 else "assistant", f"line {i}?") for i in range(7)] + [(3, 700, "user", "late"), (3, 0, "user", None), (4, 5, None, "who?")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    model = fit(list(talks.values())[60:200])
+    whole = to_transcripts_at(df, monkeypatch, 10**6)
+    want = {r["conv_id"]: r for r in decode_segments(whole, model, df.select("conv_id").limit(0), "odd_transcript").collect()}
+    assert whole.count() == 4
+    for size in (1, 3, 50):
+        segments = to_transcripts_at(df, monkeypatch, size)
+        got = {}
+        for r in decode_segments(segments, model, long_conversations(df), "odd_transcript").orderBy("conv_id", "segment").collect():
+            got[r["conv_id"]] = got.get(r["conv_id"], "") + r["chat"]["line_roles"]
+        assert got == {c: r["chat"]["line_roles"] for c, r in want.items()}
+    features, bodies, _ = observe(whole.where("conv_id = 1").first()["odd_transcript"].split("\n"))
+    assert "".join(ROLES[s // 2][0] for s, b in zip(viterbi(model, features), bodies) if b.strip()) == want[1]["chat"]["line_roles"]
+
+
+def to_transcripts_at(df, monkeypatch, size):
+    monkeypatch.setattr(chat_format, "SEGMENT_TURNS", size)
+    return to_transcripts(df, odd=True)
+
+
+def test_long_conversation(spark):
+    """600 turns are three rows of one decoding: a segment without any marker keeps to what came before it."""
+    rows = [(1, i, ("user", "assistant")[i % 2], f"question {i}?" if i % 2 == 0 else f"an answer {i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = format_chats(df).orderBy("segment").collect()
+    assert [r["n_turns"] for r in out] == [256, 256, 88] and sum(len(r["chat"]["turns"]) for r in out) == 600
+    assert "".join(r["chat"]["rendered"] for r in out) == render([(r, t) for _, _, r, t in rows])
+
+
+def test_recovered_roles_of_the_table(spark):
+    """Markers of the whole table varied, a fifth of them gone: nine lines of ten get their role."""
+    rows = op10_chat_format(spark, "/root/testdata/sf0.01").collect()
+    total = sum(r["n_lines"] for r in rows)
+    share = sum(r["right_lines"] for r in rows) / total
+    print("right lines", share, "of", total)
+    assert share >= 0.9 and all(r["right_lines"] <= r["n_lines"] for r in rows)
+
+
+def test_fit_is_the_same_whatever_the_order(spark):
+    rows = [(1, 0, "user", "b?"), (1, 0, "assistant", "a"), (1, 1, "assistant", "c"), (2, 0, "system", "s")] * 3
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    a, b = fit_on(df), fit_on(df.orderBy("text", "role"))
+    assert all(np.array_equal(x, y) for x, y in zip((a.start, a.move, *a.emit), (b.start, b.move, *b.emit)))
