@@ -38,7 +38,7 @@ def cut(df: DataFrame, tidy: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     if tidy:
         for _ in range(2):  # the first lets go of what the finished query still holds
@@ -50,11 +50,26 @@ def cut(df: DataFrame, tidy: bool = False) -> DataFrame:
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes the table of a cut that nothing reads any more, as in the rounds of a loop."""
-    jvm = df.sparkSession.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df.cut_path)
-    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def _folder(spark: SparkSession) -> str:
+    """Where the tables of this application are."""
+    return f"{spark.sparkContext.getCheckpointDir()}/cut-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the tables of cuts that nothing reads any more, as in the rounds of a loop."""
+    for df in tables:
+        _delete(df.sparkSession, df.cut_path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes every table that the operators have cut in this application; call it once their results are written."""
+    if spark.sparkContext.getCheckpointDir():
+        _delete(spark, _folder(spark))
 
 
 def md5_uniform(*parts: Column) -> Column:

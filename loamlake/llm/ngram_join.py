@@ -4,14 +4,17 @@
    are compared, so copies are never expanded into pairs.
 2. Survivors: linked sets share a fixed share of their smallest hashes. A set whose smallest hashes are
    mostly its own links with nothing and leaves here, which spares its text any further shuffle.
-3. Survivors get the global order: shingles by ascending number of classes that hold them, then by hash.
-   The shortest prefix in which any two linked sets must meet yields candidate groups (connected by shared
-   prefix shingles, without pairs).
-4. In each group a bounded number of pivots makes a prefix tree; every set of the group, dealt over slices
-   of bounded size, walks the tree once. Subtrees are cut by size and remaining-length bounds, and one link
-   to each connected group of pivots is enough. Groups that a round doesn't settle take new pivots; what a
-   few rounds leave is compared block by block, so no link is lost and no task holds a whole group.
-5. Components of the links give the result.
+3. Survivors get the global order: shingles by ascending number of classes that hold them, then by hash. Linked
+   sets meet in the shortest prefixes that their size allows.
+4. First pass: sets connected by shared prefix shingles are a group, each set in one. A bounded number of pivots
+   makes a prefix tree; every set of the group, dealt over slices of bounded size, walks the tree once. Subtrees
+   are cut by size and remaining-length bounds, and one link to each connected group of pivots is enough. That
+   settles small groups at once and clusters of near copies in a round or two, at one copy of each set.
+5. Second pass, for what is left of groups that rare shared shingles have chained together: the sets of one prefix
+   shingle and one band of sizes are a group of their own, without any closure; such as are connected already
+   are done. Pivots again; only what a few rounds of them leave within one shingle and band is compared block by
+   block, so no link is lost and no task holds a whole group.
+6. Components of the links give the result.
 """
 
 from __future__ import annotations
@@ -24,15 +27,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamlake.llm.common import cut, free_name, table
+from loamlake.llm.common import cut, forget, free_name, table
 from loamlake.llm.components import connected_components
 from loamlake.llm.trie import PrefixTree
 from loamlake.llm.words import WordHashes, lower_words, shingle_set
 
-#: Sets in one prefix tree, and tokens of the sets that one task compares with it, about.
+#: Sets in one prefix tree, tokens in one, and tokens of the sets that one task compares with it, about.
 PIVOTS = 64
+TREE_TOKENS = 2_000_000
 SLICE_TOKENS = 400_000
-ROUNDS = 4
+#: Rounds of pivots in each pass.
+ROUNDS = 2
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("toks", pa.list_(pa.int64()))])
 _SETS_DDL = "doc_id long, text_hash long, n long, fp binary, toks array<long>"
@@ -63,7 +68,7 @@ def shingle_sets(docs: DataFrame, width: int, share: tuple[int, int] | None) ->
 
 
 def _links(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) links. rows: grp, part, pivot, cls, n, toks; of each (grp, part) the pivots make the tree.
+    """(a, b) links. rows: grp, part, pivot, cls, n, toks, comp; of each (grp, part) the pivots make the tree.
 
     The rows of a (grp, part) lie together, pivots first; only the tree is kept while the others stream by.
     """
@@ -72,25 +77,25 @@ def _links(rows: DataFrame, num: int, den: int) -> DataFrame:
         key, tree, open_ = None, None, True
         for batch in batches:
             a, b = [], []
-            grp, part, pivot, cls, n = (batch.column(i).to_pylist() for i in range(5))
-            toks = batch.column(5)
+            grp, part, pivot, cls, n, comp = (batch.column(i).to_pylist() for i in range(6))
+            toks = batch.column(6)
             for i in range(batch.num_rows):
                 if (grp[i], part[i]) != key:
                     key, tree, open_ = (grp[i], part[i]), PrefixTree(num, den), True
                 tokens = toks[i].values.to_pylist()
                 if pivot[i]:
-                    linked = tree.add(cls[i], tokens, n[i])
+                    linked = tree.add(cls[i], tokens, n[i], comp[i])
                 else:
                     if open_:
                         tree.freeze()
                         open_ = False
-                    linked = [tree.keys[k] for k in tree.probe(tokens, n[i])]
+                    linked = [tree.keys[k] for k in tree.probe(tokens, n[i], comp[i])]
                 a += [cls[i]] * len(linked)
                 b += linked
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     dealt = rows.repartition("grp", "part").sortWithinPartitions("grp", "part", F.col("pivot").desc(), "cls")
-    return dealt.select("grp", "part", "pivot", "cls", "n", "toks").mapInArrow(run, "a long, b long").where("a <> b")
+    return dealt.select("grp", "part", "pivot", "cls", "n", "comp", "toks").mapInArrow(run, "a long, b long").where("a <> b")
 
 
 def _hash_mod(salt: int, modulus: Column) -> Column:
@@ -103,55 +108,91 @@ def _met(sets: DataFrame) -> DataFrame:
     fh is a hash of fp; two sets of one fh would only make more survivors.
     """
     rows = sets.where("n > 0").select(F.xxhash64("fp").alias("fh"), F.explode("toks").alias("tok"))
-    shared = rows.groupBy("tok").agg(F.min("fh").alias("lo"), F.max("fh").alias("hi")).where("lo <> hi").select("tok")
+    # written, here and below: a join with what was aggregated by its own key can't be split where one key has many rows
+    shared = cut(rows.groupBy("tok").agg(F.min("fh").alias("lo"), F.max("fh").alias("hi")).where("lo <> hi").select("tok"))
     return rows.join(shared, "tok").groupBy("fh").agg(F.count(F.lit(1)).alias("met"))
 
 
 def jaccard_links(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) links that connect the same classes as all links do. sets: cls, n, toks (distinct, any order)."""
-    sets = cut(sets, tidy=True)
-    tokens = sets.select("cls", F.explode("toks").alias("tok"))
-    counts = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    given = cut(sets, tidy=True)
+    tokens = given.select("cls", F.explode("toks").alias("tok"))
+    counts = cut(tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
     shared = tokens.join(counts, "tok").groupBy("cls").agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "tok"))), lambda s: s["tok"]).alias("toks"))
     # tokens of one class only come first in the order; what the prefix has left after them is shared
     least = F.floor((F.col("n") * num + (den - 1)) / den)
     left = (F.col("n") - least + 1 - (F.col("n") - F.size("toks"))).cast("int")
-    ordered = cut(sets.select("cls", "n").join(shared, "cls").withColumn("left", left).where("left > 0"), tidy=True)
+    ordered = cut(given.select("cls", "n").join(shared, "cls").withColumn("left", left).where("left > 0"), tidy=True)
+    forget(given, counts)
     heads = ordered.select("cls", F.explode(F.slice("toks", F.lit(1), F.col("left"))).alias("tok"))
-    hubs = heads.groupBy("tok").agg(F.min("cls").alias("hub"), F.max("cls").alias("far")).where("hub <> far")
+    hubs = cut(heads.groupBy("tok").agg(F.min("cls").alias("hub"), F.max("cls").alias("far")).where("hub <> far").select("tok", "hub"))
     stars = heads.join(hubs, "tok").where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
     groups = connected_components(stars).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
-    active = cut(ordered.drop("left").join(groups, "cls"))
-    links: DataFrame | None = None
-    for turn in range(ROUNDS + 1):
-        sizes = active.groupBy("grp").agg(F.count(F.lit(1)).alias("g"), F.sum(F.size("toks")).alias("t"))
-        rows = active.join(sizes, "grp")
-        slices = F.floor(F.col("t") / SLICE_TOKENS).cast("int") + 1
-        block = F.floor((F.col("g") + (PIVOTS - 1)) / PIVOTS).cast("int")
-        mine = _hash_mod(turn * 101 + 1, slices)
-        if turn < ROUNDS:
-            marked = rows.withColumn("pivot", _hash_mod(turn * 101 + 2, block) == 0)
-            parts = F.when(F.col("pivot"), F.sequence(F.lit(0), slices - 1).cast("array<bigint>")).otherwise(F.array(mine))
-            dealt = marked.withColumn("part", F.explode(parts))
-            found = _links(dealt, num, den)
-        else:  # every block of the rest against all of it
-            marked = None
-            blocks = F.transform(F.sequence(F.lit(0), block - 1), lambda j: F.struct((j.cast("long") * slices + mine).alias("part"), F.lit(False).alias("pivot")))
-            own = F.transform(F.sequence(F.lit(0), slices - 1), lambda s: F.struct((_hash_mod(turn * 101 + 2, block) * slices + s).alias("part"), F.lit(True).alias("pivot")))
-            dealt = rows.withColumn("x", F.explode(F.concat(blocks, own))).select("*", "x.part", "x.pivot")
-            found = _links(dealt, num, den)
-        links = cut(found if links is None else links.union(found))
-        if marked is None or sizes.where(F.col("g") > PIVOTS).isEmpty():
-            break
-        # groups of at most PIVOTS sets are settled; of the others, those of which all that is left is connected
+    members = cut(ordered.select("cls", F.size("toks").alias("k"), F.col("cls").alias("comp")).join(groups, "cls"))
+    links, members = _rounds(ordered, members, None, num, den, 0)
+    if members is not None:
+        members = _by_token(ordered, members, num, den)
+        links, members = _rounds(ordered, members, links, num, den, ROUNDS)
+    return links if members is None else _blocks(ordered, members, links, num, den)
+
+
+def _sized(members: DataFrame) -> DataFrame:
+    """members with the blocks of sets that trees can hold, and the slices that tasks can compare, of their group."""
+    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("g"), F.sum("k").alias("t"))
+    blocks = F.greatest(F.ceil(F.col("g") / PIVOTS), F.ceil(F.col("t") / TREE_TOKENS)).cast("int")
+    return members.join(sizes.select("grp", blocks.alias("blocks"), (F.floor(F.col("t") / SLICE_TOKENS).cast("int") + 1).alias("slices")), "grp")
+
+
+def _rounds(sets: DataFrame, members: DataFrame, links: DataFrame | None, num: int, den: int, first: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """All links so far, and the members (cls, k, comp, grp) of the groups that ROUNDS rounds of pivots don't settle."""
+    for turn in range(first, first + ROUNDS):
+        marked = _sized(members).withColumn("pivot", _hash_mod(turn * 101 + 2, F.col("blocks")) == 0)
+        parts = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("slices") - 1).cast("array<bigint>")).otherwise(F.array(_hash_mod(turn * 101 + 1, F.col("slices"))))
+        dealt = marked.withColumn("part", F.explode(parts)).join(sets.select("cls", "n", "toks"), "cls")
+        links = _with(links, _links(dealt, num, den))
+        # groups of one block are settled; of the others, those of which all that is left is connected
+        rest = marked.where("blocks > 1 and not pivot").select("cls", "k", "grp")
+        if rest.isEmpty():
+            return links, None
         comp = connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("comp"))
-        rest = marked.where(F.col("g") > PIVOTS).where(~F.col("pivot")).join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        rest = cut(rest.select("cls", "n", "toks", "grp", "comp"))
-        split = rest.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("grp")
-        active = cut(rest.drop("comp").join(split, "grp"))
-        if active.isEmpty():
-            break
-    return links
+        rest = cut(rest.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
+        forget(members)
+        members = cut(rest.join(_apart(rest), "grp"))
+        forget(rest)
+        if members.isEmpty():
+            return links, None
+    return links, members
+
+
+def _apart(members: DataFrame) -> DataFrame:
+    """(grp) of the groups with sets of more than one component."""
+    return cut(members.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("grp"))
+
+
+def _with(links: DataFrame | None, found: DataFrame) -> DataFrame:
+    more = cut(found if links is None else links.union(found))
+    if links is not None:
+        forget(links)
+    return more
+
+
+def _by_token(sets: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """The members by prefix shingle and band of sizes: sizes of linked sets lie in one band or two that touch."""
+    left = members.select("cls", "k", "comp").distinct()
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)))
+    heads = sets.join(left, "cls").select("cls", "k", "comp", F.explode(F.array(band, band + 1)).alias("band"), F.slice("toks", F.lit(1), F.col("left")).alias("toks"))
+    dealt = heads.select("cls", "k", "comp", "band", F.explode("toks").alias("tok")).select("cls", "k", "comp", F.xxhash64("tok", "band").alias("grp"))
+    return cut(dealt.join(_apart(dealt), "grp"))
+
+
+def _blocks(sets: DataFrame, members: DataFrame, links: DataFrame | None, num: int, den: int) -> DataFrame:
+    """links with those of every block of a group against all of it."""
+    sized = _sized(members)
+    mine, own = _hash_mod(9001, F.col("slices")), _hash_mod(9002, F.col("blocks"))
+    probes = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct((j.cast("long") * F.col("slices") + mine).alias("part"), F.lit(False).alias("pivot")))
+    trees = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: F.struct((own * F.col("slices") + s).alias("part"), F.lit(True).alias("pivot")))
+    dealt = sized.withColumn("x", F.explode(F.concat(probes, trees))).select("cls", "comp", "grp", "x.part", "x.pivot")
+    return _with(links, _links(dealt.join(sets.select("cls", "n", "toks"), "cls"), num, den))
 
 
 def _components(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -175,7 +216,10 @@ def _components(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
     least = named.groupBy("component").agg(F.min("one").alias("least"))
     by_class = named.join(least, "component").select("cls", "least")
     result = classes.join(by_class, "cls", "left").select("fp", F.coalesce("least", "one").alias("least"))
-    return sets.drop("toks").join(result, "fp", "left").withColumn("least", F.when(F.col("doc_id").isNotNull(), F.col("least"))).drop("fp")
+    # sets without shingles have no key to join by
+    some, none = sets.drop("toks").where("n > 0"), sets.drop("toks").where("n = 0").withColumn("least", F.lit(None).cast(result.schema["least"].dataType))
+    found = some.join(result, "fp", "left").withColumn("least", F.when(F.col("doc_id").isNotNull(), F.col("least")))
+    return found.unionByName(none).drop("fp")
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -208,7 +252,7 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5
     keys = first.select(F.col("doc_id").alias(name), F.col("text_hash").alias(hashed)).distinct().hint("shuffle_hash")
     kept = docs.join(keys, (docs[key].cast("long") == F.col(name)) & (F.xxhash64(docs[text].cast("string")) == F.col(hashed)), "left_semi")
     if not first.where("some").groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
-        blank = F.coalesce(F.trim(F.col(text).cast("string")), F.lit("")) == ""
+        blank = ~F.coalesce(F.col(text).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
         again, salt = free_name(docs, "again"), free_name(docs, "again_hash")
         marked = kept.withColumn(again, F.when(blank, F.monotonically_increasing_id()).otherwise(-1)).withColumn(salt, F.xxhash64(text))
         kept = marked.dropDuplicates([key, salt, again]).drop(again, salt)

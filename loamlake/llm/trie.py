@@ -21,7 +21,8 @@ class PrefixTree:
 
     Tokens that can't be shared may be left out of the sequences; size counts them all the same. Sets that
     were found connected form groups; a probe reports one link to each group that it links with, so a
-    cluster of thousands of like sets costs one comparison each instead of one for every pair.
+    cluster of thousands of like sets costs one comparison each instead of one for every pair. Sets that are
+    known to be connected from elsewhere come with the same component and are one group from the start.
     """
 
     def __init__(self, num: int, den: int) -> None:
@@ -30,8 +31,8 @@ class PrefixTree:
         self.owner: list[int] = []
         self.keys: list = []
         self.sizes: list[int] = []
-        self.lengths: list[int] = []
         self.visits = 0
+        self.component: dict[int, int] = {}  # a component and one set of it
 
     def find(self, i: int) -> int:
         while self.owner[i] != i:
@@ -39,15 +40,15 @@ class PrefixTree:
             i = self.owner[i]
         return i
 
-    def add(self, key, tokens: Sequence[int], size: int) -> list:
-        """Stores the set; returns the keys of earlier sets that it links with, one from each group."""
-        linked = self.probe(tokens, size)
+    def add(self, key, tokens: Sequence[int], size: int, component: int | None = None) -> list:
+        """Stores the set; returns the keys of earlier sets that it links with, one from each group but its component's."""
+        linked = self.probe(tokens, size, component)
         me = len(self.keys)
         self.keys.append(key)
         self.sizes.append(size)
-        self.lengths.append(len(tokens))
         self.owner.append(me)
-        for other in linked:
+        same = [] if component is None else [self.component.setdefault(component, me)]
+        for other in [*linked, *same]:
             a, b = self.find(other), self.find(me)
             self.owner[max(a, b)] = min(a, b)
         self._insert(tuple(tokens), size, me)
@@ -76,11 +77,11 @@ class PrefixTree:
                 node.kids[tokens[at]] = kid = upper
             node, at = kid, at + k
 
-    def probe(self, tokens: Sequence[int], size: int) -> list[int]:
-        """Numbers of stored sets that link with this one, one from each group."""
+    def probe(self, tokens: Sequence[int], size: int, component: int | None = None) -> list[int]:
+        """Numbers of stored sets that link with this one, one from each group but its component's."""
         place = {t: i for i, t in enumerate(tokens)}
         found: list[int] = []
-        done: set[int] = set()
+        done: set[int] = {self.find(self.component[component])} if component in self.component else set()
         num, both, mine = self.num, self.num + self.den, len(tokens)
         stack = [(self.root, 0, -1)]
         while stack:

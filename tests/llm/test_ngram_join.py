@@ -78,6 +78,55 @@ def test_rounds_and_blocks_equal_brute_force(spark, monkeypatch):
         assert got(spark, rows, 5, 4, 5) == brute(rows, 5, 4, 5)
 
 
+def dealt_rows(monkeypatch):
+    """How many rows are dealt, and how many of them go into trees, call by call."""
+    counts, links = [], ngram_join._links
+
+    def counted(rows, num, den):
+        counts.append(rows.select(F.count(F.lit(1)), F.count_if("pivot")).first())
+        return links(rows, num, den)
+
+    monkeypatch.setattr(ngram_join, "_links", counted)
+    return counts
+
+
+def test_chain_through_ten_thousand_sets(spark, monkeypatch):
+    """Neighbours share half of their shingles, all rare: one closure of 10,000 sets, and linear work."""
+    counts = dealt_rows(monkeypatch)
+    monkeypatch.setattr(ngram_join, "_blocks", lambda *_: pytest.fail("no comparison of all with all"))
+    n = 10_000
+    i = F.col("id")
+    span = lambda start, size: F.sequence(start, start + size - 1)
+    # two shingles that link with the neighbours come first; 19 more are shared with one set and 19 with another
+    toks = F.concat(F.array(i, i + 1), span(10**6 + i % 5000 * 19, 19), span(10**8 + F.floor(i / 2) * 19, 19))
+    sets = spark.range(n).select(i.alias("cls"), F.lit(40).cast("long").alias("n"), toks.alias("toks"))
+    copies = sets.where("cls % 3000 = 0").select((F.col("cls") + n).alias("cls"), F.lit(39).cast("long").alias("n"), F.slice("toks", 1, 39).alias("toks"))
+    found = ngram_join.jaccard_links(sets.unionByName(copies), 4, 5)
+    assert {tuple(sorted((r["a"], r["b"]))) for r in found.collect()} == {(k, n + k) for k in (0, 3000, 6000, 9000)}
+    print("rows dealt and in trees", [tuple(c) for c in counts])
+    assert len(counts) > 2 and sum(c[0] for c in counts) < 30 * n
+
+
+def test_many_clusters_of_one_shingle(spark, monkeypatch):
+    """Sets that share a rare shingle but aren't alike: blocks within it find every link, known ones are passed over."""
+    monkeypatch.setattr(ngram_join, "PIVOTS", 4)
+    rows = [(c * 3 + k, 11, [-1, *range(c * 100, c * 100 + 9), c * 100 + 10 + k]) for c in range(60) for k in range(3)]
+    sets = spark.createDataFrame(rows, "cls long, n long, toks array<long>")
+    linked = {}
+    for r in connected_components(ngram_join.jaccard_links(sets, 4, 5)).collect():
+        linked.setdefault(r["component"], set()).add(r["node"])
+    assert linked == {c * 3: {c * 3, c * 3 + 1, c * 3 + 2} for c in range(60)}
+
+
+def test_trees_are_bounded_by_tokens(spark, monkeypatch):
+    """Few but long sets are more than one tree."""
+    counts = dealt_rows(monkeypatch)
+    monkeypatch.setattr(ngram_join, "TREE_TOKENS", 3_000)
+    rows = [(i, " ".join(f"w{(k if k % 50 else 1000 * i + k)}" for k in range(600))) for i in range(20)]
+    assert {r[2] for r in got(spark, rows, 1, 4, 5)} == {0}
+    assert 0 < counts[0][1] < 12
+
+
 def test_tree_finds_every_link():
     rng = random.Random(3)
     for num, den in ((4, 5), (85, 100)):
@@ -109,6 +158,8 @@ def test_edges_and_keep_one(spark):
     assert sorted(str((r["doc_id"], r["cls"])) for r in kept.collect()) == sorted(map(str, [(3, "x"), (3, "z"), (None, None), (6, None), (7, ""), (7, "")]))
     with pytest.raises(ValueError):
         similar_documents(df, num=1, den=2)
+    blank = spark.createDataFrame([(1, "\n\t"), (1, "\n\t"), (2, a), (2, a)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in keep_one_of_each(blank).collect()) == [1, 1, 2]
 
 
 def test_long_text(spark):
