@@ -105,8 +105,19 @@ def human_quality(results: DataFrame, fields: Sequence[str] = QUALITY_FIELDS) ->
     return df.agg(F.count(F.lit(1)).alias("total"), *[F.avg(f).alias(f) for f in fields])
 
 
+def pass_counts(results: DataFrame, kind: str) -> DataFrame:
+    """By kind: total, passed, failed_calls and all_passed of results (status_http, expect_accepted, accepted, n_sources).
+
+    A call passes with status 200 and the expected decision, an accepted one with at least one source as well.
+    """
+    ok = F.coalesce(F.col("status_http") == 200, F.lit(False))
+    passed = ok & F.coalesce(F.col("expect_accepted") == F.col("accepted"), F.lit(False)) & (~F.col("expect_accepted") | (F.coalesce("n_sources", F.lit(0)) > 0))
+    out = results.groupBy(kind).agg(F.count(F.lit(1)).alias("total"), F.count_if(passed).alias("passed"), F.count_if(~ok).alias("failed_calls"))
+    return out.withColumn("all_passed", F.col("passed") == F.col("total"))
+
+
 def format_metric(value: Column) -> Column:
-    return F.when(value.isNull(), F.lit("não calculável")).otherwise(F.format_number(value.cast("double"), "0.0000"))
+    return F.when(value.isNull(), F.lit("não calculável")).otherwise(F.format_string("%.4f", value.cast("double")))
 
 
 def report(metrics: dict[str, float | None], approved: int, total: int) -> str:
