@@ -10,10 +10,11 @@
    makes a prefix tree; every set of the group, dealt over slices of bounded size, walks the tree once. Subtrees
    are cut by size and remaining-length bounds, and one link to each connected group of pivots is enough. That
    settles small groups at once and clusters of near copies in a round or two, at one copy of each set.
-5. Second pass, for what is left of groups that rare shared shingles have chained together: the sets of one prefix
-   shingle and one band of sizes are a group of their own, without any closure; such as are connected already
-   are done. Pivots again; only what a few rounds of them leave within one shingle and band is compared block by
-   block, so no link is lost and no task holds a whole group.
+5. Second pass, for groups of which the rounds leave sets that aren't connected: where shared shingles have chained
+   many sets together, the sets of one prefix shingle and one band of sizes are a group of their own, without any
+   closure; such as are connected already are done, and the others get pivots again. Where that would deal more
+   tokens than a comparison of the whole group block by block, and within a shingle and band that pivots don't
+   settle, blocks are compared, so no link is lost and no task holds a whole group.
 6. Components of the links give the result.
 """
 
@@ -37,7 +38,7 @@ PIVOTS = 64
 TREE_TOKENS = 2_000_000
 SLICE_TOKENS = 400_000
 #: Rounds of pivots in each pass.
-ROUNDS = 2
+ROUNDS = 4
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("toks", pa.list_(pa.int64()))])
 _SETS_DDL = "doc_id long, text_hash long, n long, fp binary, toks array<long>"
@@ -128,12 +129,18 @@ def jaccard_links(sets: DataFrame, num: int, den: int) -> DataFrame:
     hubs = cut(heads.groupBy("tok").agg(F.min("cls").alias("hub"), F.max("cls").alias("far")).where("hub <> far").select("tok", "hub"))
     stars = heads.join(hubs, "tok").where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
     groups = connected_components(stars).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
-    members = cut(ordered.select("cls", F.size("toks").alias("k"), F.col("cls").alias("comp")).join(groups, "cls"))
+    members = cut(ordered.select("cls", "left", F.size("toks").alias("k"), F.col("cls").alias("comp")).join(groups, "cls"))
     links, members = _rounds(ordered, members, None, num, den, 0)
-    if members is not None:
-        members = _by_token(ordered, members, num, den)
-        links, members = _rounds(ordered, members, links, num, den, ROUNDS)
-    return links if members is None else _blocks(ordered, members, links, num, den)
+    if members is None:
+        return links
+    # of the two ways to compare what is left of a group, the one that deals fewer tokens
+    sized = _sized(members).groupBy("grp").agg((F.sum("k") * F.max("blocks")).alias("whole"), F.sum(F.col("left").cast("long") * 2 * F.col("k")).alias("split"))
+    chained = cut(members.join(cut(sized.where("split < whole").select("grp")), "grp", "left_semi"))
+    direct = members.join(chained.select("grp").distinct(), "grp", "left_anti")
+    if not chained.isEmpty():
+        links, rest = _rounds(ordered, _by_token(ordered, chained, num, den), links, num, den, ROUNDS)
+        direct = direct if rest is None else direct.unionByName(rest)
+    return links if direct.isEmpty() else _blocks(ordered, direct, links, num, den)
 
 
 def _sized(members: DataFrame) -> DataFrame:
@@ -144,14 +151,14 @@ def _sized(members: DataFrame) -> DataFrame:
 
 
 def _rounds(sets: DataFrame, members: DataFrame, links: DataFrame | None, num: int, den: int, first: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """All links so far, and the members (cls, k, comp, grp) of the groups that ROUNDS rounds of pivots don't settle."""
+    """All links so far, and the members (cls, left, k, comp, grp) of the groups that ROUNDS rounds of pivots don't settle."""
     for turn in range(first, first + ROUNDS):
         marked = _sized(members).withColumn("pivot", _hash_mod(turn * 101 + 2, F.col("blocks")) == 0)
         parts = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("slices") - 1).cast("array<bigint>")).otherwise(F.array(_hash_mod(turn * 101 + 1, F.col("slices"))))
         dealt = marked.withColumn("part", F.explode(parts)).join(sets.select("cls", "n", "toks"), "cls")
         links = _with(links, _links(dealt, num, den))
         # groups of one block are settled; of the others, those of which all that is left is connected
-        rest = marked.where("blocks > 1 and not pivot").select("cls", "k", "grp")
+        rest = marked.where("blocks > 1 and not pivot").select("cls", "left", "k", "grp")
         if rest.isEmpty():
             return links, None
         comp = connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("comp"))
@@ -178,10 +185,9 @@ def _with(links: DataFrame | None, found: DataFrame) -> DataFrame:
 
 def _by_token(sets: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
     """The members by prefix shingle and band of sizes: sizes of linked sets lie in one band or two that touch."""
-    left = members.select("cls", "k", "comp").distinct()
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)))
-    heads = sets.join(left, "cls").select("cls", "k", "comp", F.explode(F.array(band, band + 1)).alias("band"), F.slice("toks", F.lit(1), F.col("left")).alias("toks"))
-    dealt = heads.select("cls", "k", "comp", "band", F.explode("toks").alias("tok")).select("cls", "k", "comp", F.xxhash64("tok", "band").alias("grp"))
+    heads = sets.join(members.select("cls", "comp").distinct(), "cls").select("cls", "left", F.size("toks").alias("k"), "comp", F.explode(F.array(band, band + 1)).alias("band"), F.slice("toks", F.lit(1), F.col("left")).alias("toks"))
+    dealt = heads.select("cls", "left", "k", "comp", "band", F.explode("toks").alias("tok")).select("cls", "left", "k", "comp", F.xxhash64("tok", "band").alias("grp"))
     return cut(dealt.join(_apart(dealt), "grp"))
 
 
