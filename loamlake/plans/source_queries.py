@@ -16,6 +16,7 @@ from loamlake.operators.evidence import context_sources
 from loamlake.operators.vector import payload_id
 from loamlake.plans.driver_queries import SQL as DRIVER_SQL
 from loamlake.plans.driver_queries import _ALL, _BASE, _DEDUP, _LEX, _RRF, _VEC, _tok, engine, questions, read
+from loamlake.plans.diagnostics import log_lines
 from loamlake.plans.engine import public_metrics
 from loamlake.plans.lake_queries import _FOLD, _IDENT, _STRIP
 from loamlake.sources import bronze, pages, pdf, sinks
@@ -301,6 +302,12 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("qid", "answer", "llm_skipped", F.array_join(F.transform("used", lambda i: i.cast("string")), ",").alias("used"))
 
 
+def diagnostic_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """What a log says of every question and its candidates."""
+    _, classified, decisions = engine(spark, sf).judge(questions(spark, sf))
+    return log_lines(classified, decisions)
+
+
 # --- evaluation ----------------------------------------------------------------------------------------------------
 
 
@@ -442,6 +449,8 @@ ps AS (SELECT pi.*, len(list_intersect({_WORD.format('part')}, {_WORD.format('b.
 pk AS (SELECT * FROM ps QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, i) <= 2),
 an AS (SELECT qid, string_agg(part, ' ' ORDER BY i) AS answer FROM pk GROUP BY qid)
 SELECT dec.qid, CASE WHEN decision = 'accepted' THEN coalesce(answer, '') ELSE '{REFUSAL}' END AS answer, decision = 'refused' AS llm_skipped, coalesce(array_to_string(used, ','), '') AS used FROM dec LEFT JOIN an USING (qid) LEFT JOIN k3 USING (qid)""",
+    "diagnostic_lines": f"""WITH {_ALL} SELECT qid, 0 AS line, 'INFO' AS level, 'decision=' || decision || ' reason=' || reason || ' n_sources=' || n_sources || ' n_direct=' || n_direct || ' n_partial=' || n_partial || ' n_weak=' || n_weak || ' n_covered=' || n_covered AS message FROM dec
+UNION ALL SELECT qid, rank, 'INFO', 'id=' || id || ' class=' || evidence_class || ' rank_vector=' || coalesce(rank_vector::VARCHAR, '-') || ' rank_lexical=' || coalesce(rank_lexical::VARCHAR, '-') FROM e4""",
     "case_audit": """WITH c AS (SELECT CASE WHEN doc_id % 50 = 0 THEN 'same' ELSE doc_id::VARCHAR END AS id, lang, doc_id, CASE WHEN doc_id % 13 <> 0 THEN quality = 1 END AS a FROM documents JOIN labels USING (doc_id)),
 v AS (SELECT unnest(list_filter([CASE WHEN doc_id % 11 = 0 OR lang = '' THEN 'required_field' END, CASE WHEN doc_id % 3 = 2 THEN 'review_status' END, CASE WHEN a IS NULL THEN 'answerable' END, CASE WHEN a AND doc_id % 3 = 0 AND (doc_id % 2 = 0 OR doc_id % 9 = 0) THEN 'incomplete_answerable' END], lambda x: x IS NOT NULL)) AS violation FROM c
  UNION ALL SELECT 'duplicate_id' FROM c GROUP BY id HAVING count(*) > 1)
@@ -459,6 +468,6 @@ SELECT *, passed = total AS all_passed FROM g""",
 QUERIES = {
     "text_keys": text_keys, "synonym_terms": synonym_terms, "pdf_keywords": pdf_keywords, "repaired_text": repaired_text, "refine_blocks": refine_blocks, "page_articles": page_articles, "listing_links": listing_links, "canonical_pages": canonical_pages, "titled_text": titled_text,
     "pdf_round_trip": pdf_round_trip, "pdf_problems": pdf_problems, "reconciled_sources": reconciled_sources, "pdf_canonical": pdf_canonical, "bronze_round_trip": bronze_round_trip, "publish_status": publish_status, "upload_status": upload_status, "strict_sources": strict_sources,
-    "jsonl_round_trip": jsonl_round_trip, "gold_tables": gold_tables, "vector_points": vector_points, "search_modes": search_modes, "fallback_questions": fallback_questions, "question_metrics": question_metrics, "context_texts": context_texts, "answers": answers,
+    "jsonl_round_trip": jsonl_round_trip, "gold_tables": gold_tables, "vector_points": vector_points, "search_modes": search_modes, "fallback_questions": fallback_questions, "question_metrics": question_metrics, "context_texts": context_texts, "answers": answers, "diagnostic_lines": diagnostic_lines,
     "case_audit": case_audit, "case_results": case_results, "result_groups": result_groups, "human_marks": human_marks, "pass_counts": pass_counts, "metric_texts": metric_texts,
 }

@@ -84,3 +84,13 @@ def restructure(articles: DataFrame) -> DataFrame:
 def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """JSON lines; blank ones don't count."""
     return (spark.read.schema(schema) if schema else spark.read).json(path)
+
+
+def read_object(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The one row of a JSON document that must be an object; anything else is an error."""
+    text = spark.read.text(path, wholetext=True).where(F.trim("value") != "")
+    kinds = [r["k"] for r in text.select(F.substring(F.trim("value"), 1, 1).alias("k")).limit(2).collect()]
+    if kinds != ["{"]:
+        raise ValueError(f"{path} holds no JSON object")
+    reader = spark.read.option("multiLine", "true").option("mode", "FAILFAST")
+    return (reader.schema(schema) if schema else reader).json(path)

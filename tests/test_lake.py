@@ -12,7 +12,7 @@ from loamlake.operators import evaluate, gold, inventory, silver
 from loamlake.operators.chunks import chunk_documents
 from loamlake.plans.load import LoadRequest, ingest_pages, process_one, run_pipeline
 from loamlake.sources import pages, pdf, sinks
-from loamlake.sources.bronze import read_articles, restructure, scan, strict_articles
+from loamlake.sources.bronze import read_articles, read_object, restructure, scan, strict_articles
 from loamlake.streaming.ingest import bronze_stream, merge_stream
 
 ARTICLE = {"titulo": "Pesquisa interdisciplinar", "autor": "Autora Exemplo", "data": "2026-07-23T10:00:00+00:00", "categoria": "Ciências", "conteudo": "<h2>Parte</h2><p>Um texto com <b>ênfase</b> e <a href='http://x.y/z'>ligação</a>.</p>", "url": "https://site.example/ciencias/pesquisa/"}
@@ -219,6 +219,53 @@ def test_bronze_pipeline_and_stream(spark, tmp_path):
     assert chunk_documents(spark.createDataFrame([(1, None), (2, " ")], "id int, texto string")).count() == 0
 
 
+def test_diagnostics(spark, tmp_path):
+    from loamlake.operators.embed import embed_documents
+    from loamlake.plans.diagnostics import NotReady, ProviderFailed, log_lines, phase_seconds, status_of
+    from loamlake.plans.engine import Engine
+
+    chunks = spark.createDataFrame([(1, "d1", "Pesquisa aplicada", "texto de pesquisa aplicada em genética", "https://s.example/1", "c", "a"), (2, None, "Outra", "saúde pública", "", "c", "a")], "id long, documento_id string, titulo string, texto string, url string, categoria string, autor string")
+    asked = spark.createDataFrame([(7, "pesquisa aplicada genética"), (8, "saúde pública")], "qid long, question string")
+    with Engine(chunks, embed_documents(chunks, "id", "texto")) as engine:
+        seconds = phase_seconds(engine, asked)
+        assert list(seconds) == ["index", "prepare", "embed", "vector", "lexical", "fuse", "enrich", "evidence", "context", "total"] and all(v >= 0 for v in seconds.values())
+        _, classified, decisions = engine.judge(asked)
+        lines = log_lines(classified, decisions).collect()
+        assert {r["qid"] for r in lines if r["line"] == 0} == {7, 8} and any(r["level"] == "WARN" for r in lines)
+        assert not any("genética" in r["message"] for r in lines)
+        with pytest.raises(Exception) as blank:
+            engine.ask(asked.withColumn("question", F.lit(" "))).collect()
+        assert status_of(blank.value) == 400
+    assert [status_of(e) for e in (ValueError(), NotReady(), ProviderFailed(), OSError())] == [400, 503, 502, 500]
+    (tmp_path / "o.json").write_text('{"a": 1,\n "b": [2]}')
+    (tmp_path / "l.json").write_text("[1]")
+    assert read_object(spark, str(tmp_path / "o.json")).first()["a"] == 1
+    with pytest.raises(ValueError):
+        read_object(spark, str(tmp_path / "l.json"))
+
+
+def test_deep_and_odd_pages():
+    """Time and depth of a page don't explode; scripts keep their text as markup."""
+    import time
+
+    began = time.perf_counter()
+    nested = "<div>" * 5_000 + "fundo" + "</span>" * 5_000
+    assert clean_html(nested) == "fundo" and clean_html("<ul><li>a" * 300).startswith("- a")
+    wide = "<table><tr>" + "<td>x</td>" * 3_000 + "</tr></table>" + "<p>" + "y " * 10_000
+    assert "y y" in clean_html(wide) and pages.article(nested * 2, None)["texto"] == ""
+    assert time.perf_counter() - began < 5
+    from loamlake.functions import html as H
+
+    assert H.to_html(H.parse("<p>a &lt; b<script>if (a<b) x()</script>")) == "<p>a &lt; b<script>if (a<b) x()</script></p>"
+
+
+def test_programme_block():
+    """The block that ends a page with a programme on air goes with all that follows; other rules stay."""
+    body = "<p>Corpo.</p><hr><p><b>Programa no Ar</b></p><p><a href='https://s.example/radio/'>Programa no Ar</a> no ar veiculado pela Rede Exemplo, de segunda a sexta</p><p>mais</p>"
+    assert clean_html(body) == "Corpo."
+    assert clean_html("<p>Corpo.</p><hr><p><b>Outro</b></p><p>texto</p>").endswith("texto")
+
+
 def test_crawl():
     listing = lambda *paths: "<main>" + "".join(f"<article class=post><a href='{p}'>x</a></article>" for p in paths) + "</main>"
     site = {1: listing("/a/1", "/a/2"), 2: listing("/a/2", "/a/3"), 3: listing("/a/3")}
