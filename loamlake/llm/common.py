@@ -40,6 +40,8 @@ def cut(df: DataFrame, tidy: bool = False) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = _path(spark, _folder(spark))
+    _files(spark, where).deleteOnExit(where)  # what nobody forgot or swept goes with the application
     if tidy:
         for _ in range(2):  # the first lets go of what the finished query still holds
             time.sleep(0.5)
@@ -55,9 +57,17 @@ def _folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/cut-{spark.sparkContext.applicationId}"
 
 
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _files(spark: SparkSession, path):
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def _delete(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    where = _path(spark, path)
+    _files(spark, where).delete(where, True)
 
 
 def forget(*tables: DataFrame) -> None:

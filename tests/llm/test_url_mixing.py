@@ -183,6 +183,21 @@ def test_computed_source_and_rare_ones(spark, rare):
     assert {r["source"]: r["count"] for r in rows}["rare"] == pytest.approx(5_000, rel=0.05)
 
 
+def test_cut_tables_are_swept(spark):
+    """A cut is a table in the checkpoint folder until it is forgotten or all are swept."""
+    from pathlib import Path
+
+    from loamlake.llm.common import cut, forget, sweep
+
+    one, two = cut(spark.range(3)), cut(spark.range(4))
+    where = lambda df: Path(df.cut_path.removeprefix("file:"))
+    assert where(one).exists() and where(two).exists() and one.count() == 3
+    forget(one)
+    assert not where(one).exists() and where(two).exists()
+    sweep(spark)
+    assert not where(two).exists()
+
+
 def test_weights(spark):
     df = spark.range(10).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"))
     with pytest.raises(ValueError):
