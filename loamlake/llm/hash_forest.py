@@ -2,9 +2,12 @@
 
 Vectors are dealt into blocks of a fixed size. In a block every tree is one sorted array of long hash
 strings (signs of random projections): a logical prefix tree, without pointers. A query descends each tree to its
-longest matching prefix and then all trees ascend together, one bit at a time, until the prefixes that
-still match hold enough entries and enough distinct candidates. Candidates are scored exactly. Because a block's size and the share of
-it that becomes candidates are fixed, recall doesn't depend on how many blocks there are.
+longest matching prefix and then all trees ascend together, one bit at a time, until the prefixes that still match
+hold enough distinct candidates. These are scored, and nothing else is. The score of the k-th of them tells how far
+all trees must ascend still: two vectors at an angle a agree in one bit with probability 1 - a / pi, so a vector that
+is as near as the k-th best is missed by every tree at depth d with probability (1 - (1 - a / pi)^d)^trees. The trees
+ascend to the depth at which that is at most MISS. Where neighbours stand out, few candidates suffice; where all
+directions are alike, as in random vectors, many are needed, and recall is the same for both.
 
 Inner products become angles by one more coordinate, sqrt(M^2 - |x|^2) with M the largest length in the
 block, which is zero for queries.
@@ -25,9 +28,9 @@ from loamlake.llm.common import table
 TREES = 64
 BITS = 32
 BLOCK = 8_192
-#: Ascending stops when the matching prefixes of all trees hold this many entries for each vector in the block.
-FILL = 0.9
-#: And when at least so many distinct vectors for each neighbour wanted are candidates, or all in the block.
+#: The chance that a vector as near as the k-th best found is no candidate.
+MISS = 0.15
+#: At least so many distinct vectors for each neighbour wanted are candidates, or all in the block.
 DISTINCT = 16
 QUERIES_AT_ONCE = 256
 #: Of vectors that are equal in every component only so many smallest ids can be among the nearest k.
@@ -38,14 +41,17 @@ class Forest:
     """The trees over one block. x: distinct vectors as float64 rows."""
 
     def __init__(self, x: np.ndarray, trees: int = TREES, bits: int = BITS, seed: int = 7) -> None:
-        self.x, self.bits = x, bits
-        lengths = np.einsum("ij,ij->i", x, x)
-        self.extra = np.sqrt(np.maximum(lengths.max(initial=0.0) - lengths, 0.0))
+        # scaled to lengths of at most one, so that no square overflows or vanishes
+        most = float(np.abs(x).max(initial=0.0)) or 1.0
+        lengths = np.sqrt(np.einsum("ij,ij->i", x / most, x / most))
+        self.scale = most * (float(lengths.max(initial=0.0)) or 1.0)
+        self.x, self.bits = x / self.scale, bits
+        self.extra = np.sqrt(np.maximum(1.0 - np.einsum("ij,ij->i", self.x, self.x), 0.0))
         rng = np.random.default_rng(seed)
         self.planes = rng.standard_normal((trees, x.shape[1] + 1, bits))
         self.order, self.codes = [], []
         for p in self.planes:
-            code = self._code(np.column_stack([x, self.extra]), p)
+            code = self._code(np.column_stack([self.x, self.extra]), p)
             order = np.argsort(code, kind="stable")
             self.order.append(order.astype(np.int32))
             self.codes.append(code[order])
@@ -54,41 +60,67 @@ class Forest:
         signs = (x @ planes > 0).astype(np.uint64)
         return (signs << np.arange(self.bits - 1, -1, -1, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
-    def candidates(self, q: np.ndarray, least: int, distinct: int = 0) -> np.ndarray:
-        """A bool for each query and vector: whether the ascent from the query's deepest prefixes reaches it.
+    def query_codes(self, q: np.ndarray) -> list[np.ndarray]:
+        """The hash string of each query in each tree."""
+        lifted = np.column_stack([q, np.zeros(len(q))])
+        return [self._code(lifted, p) for p in self.planes]
+
+    def levels(self, codes: list[np.ndarray], least: int) -> np.ndarray:
+        """The depth, for each query, to which all trees ascend from its deepest prefixes until ``least`` entries match.
 
-        It ends when ``least`` entries match and ``distinct`` vectors besides the query's own (or all there are).
+        Matches only grow on the way up, so the depth is found by halving; at depth 0 everything matches.
         """
-        n, asked = len(self.x), len(q)
-        lifted = np.column_stack([q, np.zeros(asked)])
-        codes = [self._code(lifted, p) for p in self.planes]
-        level = np.full(asked, -1, np.int64)
-        for depth in range(self.bits, -1, -1):  # all trees lose one bit at a time
-            open_ = np.flatnonzero(level < 0)
-            if not len(open_):
-                break
-            size = np.zeros(len(open_), np.int64)
+        low, high = np.zeros(len(codes[0]), np.int64), np.full(len(codes[0]), self.bits, np.int64)
+        while (low < high).any():
+            middle = (low + high + 1) // 2
+            size = np.zeros(len(low), np.int64)
             for code, own in zip(self.codes, codes, strict=True):
-                a, b = self._range(code, own[open_], depth)
+                a, b = self._range(code, own, middle)
                 size += b - a
-            level[open_[(size >= least) | (depth == 0)]] = depth
+            enough = size >= least
+            low, high = np.where(enough, middle, low), np.where(enough, high, middle - 1)
+        return low
+
+    def matching(self, codes: list[np.ndarray], level: np.ndarray, mask: np.ndarray, todo: np.ndarray) -> None:
+        """Sets in mask, for the queries in todo, the vectors that share a prefix of the query's depth in some tree."""
+        for code, order, own in zip(self.codes, self.order, codes, strict=True):
+            a, b = self._range(code, own[todo], level[todo])
+            count = b - a
+            at = np.repeat(a - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            mask[np.repeat(todo, count), order[at]] = True
+
+    def ascend(self, codes: list[np.ndarray], level: np.ndarray, distinct: int) -> np.ndarray:
+        """A bool for each query and vector: the candidates at ``level``, which goes on up until ``distinct`` vectors
+        besides the query's own match, or all there are."""
+        n, asked = len(self.x), len(level)
         mask = np.zeros((asked, n), bool)
         todo, need = np.arange(asked), min(n, distinct + 1)  # one of them may be the query's own
         while len(todo):
-            for depth in np.unique(level[todo]):
-                rows = todo[level[todo] == depth]
-                for code, order, own in zip(self.codes, self.order, codes, strict=True):
-                    for i, a, b in zip(rows, *self._range(code, own[rows], int(depth)), strict=True):
-                        mask[i, order[a:b]] = True
+            self.matching(codes, level, mask, todo)
             todo = todo[(mask[todo].sum(axis=1) < need) & (level[todo] > 0)]
             level[todo] -= 1
         return mask
 
-    def _range(self, code: np.ndarray, own: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where in the sorted array the strings with the query's first ``depth`` bits stand."""
-        free = np.uint64(self.bits - depth)
+    def candidates(self, q: np.ndarray, least: int, distinct: int = 0) -> np.ndarray:
+        """The candidates of each query once ``least`` entries and ``distinct`` vectors match."""
+        codes = self.query_codes(q)
+        return self.ascend(codes, self.levels(codes, least), distinct)
+
+    def depth_for(self, cosine: np.ndarray, miss: float) -> np.ndarray:
+        """The greatest depth at which a vector of that inner product is a candidate but for a chance of ``miss``.
+
+        cosine: inner products of queries of length one with scaled vectors; -inf, for none, asks for every vector.
+        """
+        with np.errstate(divide="ignore", invalid="ignore"):
+            agree = 1.0 - np.arccos(np.clip(cosine, -1.0, 1.0)) / np.pi
+            depth = np.log1p(-(miss ** (1.0 / len(self.codes)))) / np.log(agree)
+        return np.where(np.isfinite(cosine), np.clip(np.nan_to_num(np.floor(depth), nan=0.0, posinf=self.bits), 0, self.bits), 0).astype(np.int64)
+
+    def _range(self, code: np.ndarray, own: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the sorted array the strings with each query's first ``depth`` bits stand."""
+        free = (self.bits - depth).astype(np.uint64)
         low = (own >> free) << free
-        return np.searchsorted(code, low), np.searchsorted(code, low + np.uint64((1 << int(free)) - 1), side="right")
+        return np.searchsorted(code, low), np.searchsorted(code, low + ((np.uint64(1) << free) - np.uint64(1)), side="right")
 
 
 def inner_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -108,6 +140,7 @@ class _Block:
         ids, x = ids[order], x[order]
         _, first, where = np.unique(x.view([("", x.dtype)] * x.shape[1]).ravel(), return_index=True, return_inverse=True)
         self.forest = Forest(x[first])
+        self.x, self.fast = x[first], self.forest.x.astype(np.float32)
         self.members: list[list[int]] = [[] for _ in first]
         for i, w in zip(ids.tolist(), where.ravel().tolist(), strict=True):
             mine = self.members[w]
@@ -115,16 +148,30 @@ class _Block:
                 mine.append(i)
 
     def nearest(self, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[list, list, list]:
-        x, out = self.forest.x, ([], [], [])
-        mask = self.forest.candidates(q, math.ceil(FILL * len(x)), DISTINCT * k)
-        fast = (q.astype(np.float32) @ x.astype(np.float32).T).astype(np.float64)
-        # how far a float32 product can be from the true one
-        slack = 1e-6 * x.shape[1] * np.sqrt(np.einsum("ij,ij->i", q, q)) * math.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0.0))
-        fast[~mask] = -np.inf
+        forest, x, out = self.forest, self.x, ([], [], [])
+        q1 = q / np.abs(q).max(axis=1)[:, None]  # no query is zero
+        q1 /= np.sqrt(np.einsum("ij,ij->i", q1, q1))[:, None]
         keep = min(k + SPARE, len(x))
-        edge = -np.partition(-fast, keep - 1, axis=1)[:, keep - 1]
+        q4 = q1.astype(np.float32)
+        codes = forest.query_codes(q1)
+        level = forest.levels(codes, min(len(x), DISTINCT * k))
+        mask = forest.ascend(codes, level, DISTINCT * k)
+        # the k-th best besides the query's own vector, in float32 and so a little less to be safe
+        kth = np.full(len(q), -np.inf)
+        for i in range(len(q)):
+            near = np.flatnonzero(mask[i])
+            if len(near) >= keep:
+                kth[i] = np.partition(self.fast[near] @ q4[i], len(near) - keep)[len(near) - keep] - 1e-5
+        deeper = forest.depth_for(kth, MISS)
+        up = np.flatnonzero(deeper < level)
+        level[up] = deeper[up]
+        forest.matching(codes, level, mask, up)
         for i, own in enumerate(ids.tolist()):
-            near = np.flatnonzero((fast[i] >= edge[i] - 2 * slack[i]) & mask[i])
+            near = np.flatnonzero(mask[i])
+            scores4 = self.fast[near] @ q4[i]
+            edge = np.partition(scores4, len(near) - keep)[len(near) - keep] if len(near) > keep else -np.inf
+            # how far a float32 product of vectors no longer than one can be from the true one
+            near = near[scores4 >= edge - 2e-6 * x.shape[1]]
             scores = inner_products(q[i], x[near])
             best = sorted((-s, m) for s, w in zip(scores.tolist(), near.tolist(), strict=True) for m in self.members[w] if m != own)[:k]
             out[0].extend([own] * len(best))
@@ -146,7 +193,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
     Null, empty or zero vectors and such with null or non-finite components take no part, nor do rows with a
     null key or a number of components that few others have (the most common number counts; of equally common
     ones the smallest). A row never is its own neighbour: candidates with the query's key don't count, and
-    equal (key, vector) rows are one. Ties go to the smaller key. No vectors or no queries give no rows.
+    equal (key, vector) rows are one. Ties go to the smaller key. Vectors of any size in doubles are compared by their
+    scaled float32 forms first and exactly then. No vectors or no queries give no rows.
     """
     pick = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     data, asked = pick(vectors), pick(queries).dropDuplicates()
