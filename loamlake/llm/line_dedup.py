@@ -3,28 +3,37 @@
 Every line has a 64-bit hash; a rolling hash over a window of line hashes marks a boundary where it is a
 local minimum. Boundaries depend only on the lines around them, so an inserted or lost line moves none but
 its neighbours' chunks, and two boundaries are never adjacent: chunks between them have two lines or more.
+
+A passage of few lines inside differing text may lie between two boundaries and hold no whole chunk. So a second kind
+of chunk begins at every line with a word and ends, as its content says, with the first line by which it has more than
+PASSAGE_WORDS words, if that is two to PASSAGE_LINES lines on. Such chunks overlap each other and the first kind.
+
 Chunks whose hash occurs again are fetched, compared byte by byte with the first occurrence, and removed
 wherever they are its equal; the first occurrence stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamlake.llm.common import cut, free_name, table
 
 #: Lines under the rolling hash; a boundary needs the smallest of three neighbouring values.
 WINDOW = 2
+#: A chunk of the second kind has more words than this, in at most so many lines.
+PASSAGE_WORDS = 50
+PASSAGE_LINES = 5
 LAST = (1 << 63) - 1
 
 
 def chunk_columns(df: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """df with lines and cs = array<struct<pos, start, size>>, the chunks of two lines or more (start from 0).
+    """df with lines and cs = array<struct<pos, start, size>>, the chunks of two lines or more (start from 0), by start and size.
 
     Line i begins a chunk if the rolling hash there is below its left and not above its right neighbour; the
-    second line and the last never do, as the first or the last would stand alone. Each step is a projection
-    that later ones refer to more than once, so that none is evaluated anew for each element.
+    second line and the last never do, as the first or the last would stand alone. Between these stand the short
+    passages of the second kind, none twice. Each step is a projection that later ones refer to more than once, so
+    that none is evaluated anew for each element.
     """
     shifted = lambda x, k: F.concat(F.array_repeat(F.lit(None).cast("long"), k), F.slice(x, 1, F.greatest(F.size(x) - k, F.lit(0))))
     df = df.withColumn("lines", F.split(text, "\n"))
@@ -39,8 +48,23 @@ def chunk_columns(df: DataFrame, text: str = "text", window: int = WINDOW) -> Da
     df = df.withColumn("at", F.concat(F.array(F.lit(0)), at)).drop("r")
     ends = F.concat(F.slice("at", 2, F.size("at")), F.array(F.size("lines")))
     zipped = F.zip_with("at", ends, lambda s, e: F.struct(s.alias("start"), (e - s).alias("size")))
-    cs = F.transform(zipped, lambda c, i: F.struct(i.alias("pos"), c["start"], c["size"]))
-    return df.withColumn("cs", F.filter(cs, lambda c: c["size"] > 1)).drop("at")
+    df = df.withColumn("tiles", F.filter(zipped, lambda c: c["size"] > 1)).drop("at")
+    df = df.withColumn("words", F.transform("lines", lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+"))))
+
+    def passage(n: Column, i: Column) -> Column:
+        size, sum_ = F.lit(None).cast("int"), n
+        steps = []
+        for k in range(1, PASSAGE_LINES):
+            sum_ = sum_ + F.get("words", i + k)  # null beyond the end
+            steps.append((sum_ > PASSAGE_WORDS, k + 1))
+        for enough, k in reversed(steps):
+            size = F.when(enough, k).otherwise(size)
+        return F.struct(i.alias("start"), F.when(n > 0, size).alias("size"))
+
+    passages = F.filter(F.transform("words", passage), lambda c: c["size"].isNotNull())
+    both = F.sort_array(F.array_distinct(F.concat("tiles", passages)))
+    df = df.withColumn("both", both).drop("tiles", "words")
+    return df.withColumn("cs", F.transform("both", lambda c, i: F.struct(i.alias("pos"), c["start"], c["size"]))).drop("both")
 
 
 def _hashed_chunks(base: DataFrame) -> DataFrame:
@@ -58,7 +82,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     A chunk is removed where an equal one, of the same bytes, comes before it: in a row of smaller key, or
     earlier in the same text. Rows with equal keys are ordered by the hash of their text, and repeated rows
     count as one. Null keys come last. A null text stays null, an empty one empty; a text left without lines
-    becomes empty; single lines and blank chunks are never removed. Nothing else of the text changes. Columns
+    becomes empty; single lines and blank chunks are never removed. Chunks may overlap; a line goes if one that holds it
+    goes, and since every removal points to an earlier place, some copy of each line stays. Nothing else of the text changes. Columns
     named removed_chunks or removed_lines are replaced; an empty table gives no rows.
     """
     docs = docs.drop("removed_chunks", "removed_lines")
@@ -87,18 +112,18 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     per_doc = per_doc.select(F.col("did").alias(name), F.col("th").alias(h), spans).hint("shuffle_hash")
     joined = docs.join(per_doc, (F.coalesce(docs[key].cast("long"), F.lit(LAST)) == F.col(name)) & (F.xxhash64(docs[text]) == F.col(h)), "left")
     joined = joined.withColumn(lines, F.when(F.col(spans).isNotNull(), F.split(text, "\n")))
-    starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["start"] + s["size"]))
-    ends = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.size(lines)))
-    left = F.flatten(F.transform(F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e"))), lambda g: F.slice(lines, g["s"] + 1, g["e"] - g["s"])))
+    dead = F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["start"] + s["size"] - 1)))
+    kept = free_name(docs, "gone_kept")
+    joined = joined.withColumn(kept, F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dead))
     none = F.col(spans).isNull()
     out = joined.withColumns(
         {
-            text: F.when(none, F.col(text)).otherwise(F.array_join(left, "\n")),
+            text: F.when(none, F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")),
             "removed_chunks": F.when(none, F.lit(0)).otherwise(F.size(spans)),
-            "removed_lines": F.when(none, F.lit(0)).otherwise(F.aggregate(spans, F.lit(0), lambda a, s: a + s["size"])),
+            "removed_lines": F.when(none, F.lit(0)).otherwise(F.size(lines) - F.size(kept)),
         }
     )
-    return out.drop(name, spans, h, lines)
+    return out.drop(name, spans, h, lines, kept)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

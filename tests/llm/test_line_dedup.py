@@ -88,3 +88,39 @@ def test_long_text(spark):
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     assert sorted((tuple(r) for r in op3_line_dedup(spark, "/root/testdata/sf0.001").collect()), key=str) == brute(docs)
+
+
+def test_short_passages_go(spark):
+    """Passages of two to six lines and over 50 words inside differing text go from all texts but the first."""
+    rng = random.Random(11)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passages = [[line(60 // size + 12) for _ in range(size)] for size in (2, 2, 3, 4, 5, 6)] + [[line(55), ""], [line(30), "", line(30)]]
+    rows, at = [], {}
+    for i in range(64):
+        k = i % len(passages)
+        own = lambda: [line(rng.randrange(4, 30)) for _ in range(rng.randrange(0, 5))]
+        rows.append((i, "\n".join([*own(), line(8), *passages[k], line(9), *own()])))
+        at.setdefault(k, i)
+    out = {r["doc_id"]: r for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        k = i % len(passages)
+        left = [x for x in passages[k] if x and x in out[i]["text"].split("\n")]
+        if i == at[k]:
+            assert out[i]["text"] == text and out[i]["removed_lines"] == 0
+        else:
+            words = sum(len(x.split()) for x in left)
+            assert words <= 50, (k, words)
+            own = [x for x in text.split("\n") if x not in passages[k]]
+            assert [x for x in out[i]["text"].split("\n") if x not in passages[k]] == own
+    assert sum(r["removed_lines"] for r in out.values()) > 100
+
+
+def test_overlapping_chunks_leave_a_copy(spark):
+    """Lines that repeat within a text and across texts: of every line some copy stays."""
+    rng = random.Random(12)
+    lines = [" ".join(f"{c}{k}" for k in range(30)) for c in "abcd"]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 12)))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(df) == brute(df)
+    left = {x for r in got(df) for x in r[1].split("\n")}
+    assert set(lines) <= left
