@@ -102,3 +102,15 @@ def answers(questions: DataFrame, decisions: DataFrame, contexts: DataFrame, pro
     given = kept.select("qid", provider.answer(F.col("question"), F.coalesce("context", F.lit(""))).alias("answer"), F.lit(False).alias("llm_skipped"), F.coalesce("used", F.array().cast("array<bigint>")).alias("used"))
     refused = asked.where("not sufficient").select("qid", F.lit(REFUSAL).alias("answer"), F.lit(True).alias("llm_skipped"), F.array().cast("array<bigint>").alias("used"))
     return given.unionByName(refused)
+
+
+def source_cards(sources: DataFrame) -> DataFrame:
+    """(qid, n, title, link, score) of public sources (qid, context_rank, titulo, url, score) as a page shows them.
+
+    A source without a title is named by its number; only http and https addresses become links.
+    """
+    n = F.row_number().over(Window.partitionBy("qid").orderBy("context_rank"))
+    df = sources.withColumn("n", n)
+    title = F.coalesce(F.when(strip(F.col("titulo")) != "", strip(F.col("titulo"))), F.concat(F.lit("Fonte "), F.col("n").cast("string")))
+    link = F.when(F.col("url").rlike(r"(?i)^https?://[^/?#\s]+[^\s]*$"), F.col("url"))
+    return df.select("qid", "n", title.alias("title"), link.alias("link"), F.format_string("%.4f", F.col("score").cast("double")).alias("score"))

@@ -138,3 +138,24 @@ def stage_all(spark: SparkSession, builds: dict[str, DataFrame]) -> None:
         raise
     for name in builds:
         swap(spark, f"{name}__staging", name)
+
+
+def by_ids(chunks: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The chunks of the given ids (a column ``key``), each once; no ids give no rows without a read of the chunks."""
+    wanted = ids.select(key).where(f"{key} is not null").distinct()
+    return chunks.limit(0) if wanted.isEmpty() else chunks.join(wanted, key, "left_semi")
+
+
+def zip_positions(records: DataFrame, vectors: DataFrame, position: str = "position") -> DataFrame:
+    """records with the columns of vectors at the same position; a position that only one side has is an error."""
+    left, right = records.withColumn("_l", F.lit(True)), vectors.withColumn("_r", F.lit(True))
+    both = left.join(right, position, "full_outer")
+    paired = F.when(F.col("_l").isNull() | F.col("_r").isNull(), F.raise_error(F.concat(F.lit("unpaired position "), F.col(position).cast("string"))).cast(both.schema[position].dataType)).otherwise(F.col(position))
+    return both.withColumn(position, paired).drop("_l", "_r")
+
+
+def staging_checks(chunks: DataFrame, documents: int) -> DataFrame:
+    """One row: documents, chunks, repeated keys and texts without any; sound if documents are as many as expected and the others none."""
+    keyed = chunks.groupBy("documento_id", "chunk_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.trim(F.coalesce("texto", F.lit(""))) == "").alias("blank"))
+    out = keyed.agg(F.countDistinct("documento_id").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"), F.count_if(F.col("n") > 1).alias("repeated_keys"), F.coalesce(F.sum("blank"), F.lit(0)).alias("blank_texts"))
+    return out.withColumn("sound", (F.col("documents") == documents) & (F.col("repeated_keys") == 0) & (F.col("blank_texts") == 0))

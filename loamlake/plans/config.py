@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, fields
 from typing import Any, Self
+from urllib.parse import unquote, urlsplit
 
 TOP_K, LEAST_K, MOST_K = 5, 1, 20
 
@@ -130,3 +131,17 @@ def valid_mode(mode: str) -> str:
     if mode not in ("vector", "lexical", "hybrid"):
         raise ValueError("mode must be vector, lexical or hybrid")
     return mode
+
+
+def jdbc_options(env: Mapping[str, str] | None = None) -> dict[str, str]:
+    """Options of spark.read.format("jdbc") for a text table that lives in PostgreSQL: DATABASE_URL, else host, port, name, user and password."""
+    env = os.environ if env is None else env
+    if dsn := env.get("DATABASE_URL", ""):
+        parts = urlsplit(dsn)
+        host, port, name, user, password = parts.hostname or "localhost", parts.port or 5432, parts.path.lstrip("/"), unquote(parts.username or ""), unquote(parts.password or "")
+    else:
+        get = lambda k, default="": env.get(f"POSTGRES_{k}", default)
+        host, port, name, user, password = get("HOST", "localhost"), get("PORT", "5432"), get("DB"), get("USER"), get("PASSWORD")
+    if not name:
+        raise ValueError("no database is named")
+    return {"url": f"jdbc:postgresql://{host}:{port}/{name}", "user": user, "password": password, "driver": "org.postgresql.Driver"}

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from loamlake.functions import editorial
 from loamlake.functions import text as T
 from loamlake.operators import evaluate, gold, silver
-from loamlake.operators.context import REFUSAL, pack_context
-from loamlake.operators.evidence import context_sources
+from loamlake.operators.context import REFUSAL, pack_context, source_cards
+from loamlake.operators.evidence import context_sources, public_sources
 from loamlake.operators.vector import payload_id
 from loamlake.plans.driver_queries import SQL as DRIVER_SQL
-from loamlake.plans.driver_queries import _ALL, _BASE, _DEDUP, _LEX, _RRF, _VEC, _tok, engine, questions, read
+from loamlake.plans.driver_queries import _ALL, _BASE, _DEDUP, _LEX, _RRF, _VEC, _tok, chunks, engine, questions, read
+from loamlake.plans.benchmark import run_cases
 from loamlake.plans.diagnostics import log_lines
 from loamlake.plans.engine import public_metrics
 from loamlake.plans.lake_queries import _FOLD, _IDENT, _STRIP
@@ -308,6 +309,40 @@ def diagnostic_lines(spark: SparkSession, sf: str) -> DataFrame:
     return log_lines(classified, decisions)
 
 
+def cards(spark: SparkSession, sf: str) -> DataFrame:
+    """The sources that a caller may see, as cards."""
+    e = engine(spark, sf)
+    _, classified, decisions = e.judge(questions(spark, sf))
+    return source_cards(public_sources(classified, decisions, e.evidence))
+
+
+def benchmark_results(spark: SparkSession, sf: str) -> DataFrame:
+    """A benchmark run: every item a case that expects the address of the first source by name."""
+    first = read(spark, sf, "documents").agg(F.min("source")).first()[0]
+    none = F.lit(None).cast("string")
+    cases = read(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.lit("json").alias("categoria"), F.col("text").alias("pergunta"), none.alias("document_id_esperado"), F.lit(f"https://{first}.example/").alias("url_esperada"), none.alias("source_object_esperado"))
+    out = run_cases(engine(spark, sf), cases)
+    return out.select("id", "status_http", "evidence_sufficient", "ollama_skipped", "reason", F.size("fontes").alias("n_sources"), F.col("expected_rank").cast("int").alias("expected_rank"), F.array_join(F.transform("fontes", lambda f: f["document_id"]), ",").alias("ids"))
+
+
+def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    ids = read(spark, sf, "benchmark").select(F.col("item_id").alias("id"))
+    return gold.by_ids(chunks(spark, sf), ids).select("id", "documento_id", "titulo", "url")
+
+
+def paired_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers and as many vectors by their positions."""
+    s = read(spark, sf, "supplier").select((F.col("s_suppkey") - F.lit(1)).alias("position"), "s_name")
+    v = read(spark, sf, "embeddings").select(F.col("vec_id").alias("position"), "embedding").join(s.select("position"), "position", "left_semi")
+    return gold.zip_positions(s.join(v.select("position"), "position", "left_semi"), v).select("position", "s_name", F.round(F.element_at("embedding", 1).cast("double"), 6).alias("x"))
+
+
+def staging_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """A staging table of whole documents as chunks, with repeated keys."""
+    c = read(spark, sf, "documents").select((F.col("doc_id") % 100).cast("string").alias("documento_id"), (F.col("doc_id") / 200).cast("int").alias("chunk_id"), F.col("text").alias("texto"))
+    return gold.staging_checks(c, 100)
+
+
 # --- evaluation ----------------------------------------------------------------------------------------------------
 
 
@@ -451,6 +486,13 @@ an AS (SELECT qid, string_agg(part, ' ' ORDER BY i) AS answer FROM pk GROUP BY q
 SELECT dec.qid, CASE WHEN decision = 'accepted' THEN coalesce(answer, '') ELSE '{REFUSAL}' END AS answer, decision = 'refused' AS llm_skipped, coalesce(array_to_string(used, ','), '') AS used FROM dec LEFT JOIN an USING (qid) LEFT JOIN k3 USING (qid)""",
     "diagnostic_lines": f"""WITH {_ALL} SELECT qid, 0 AS line, 'INFO' AS level, 'decision=' || decision || ' reason=' || reason || ' n_sources=' || n_sources || ' n_direct=' || n_direct || ' n_partial=' || n_partial || ' n_weak=' || n_weak || ' n_covered=' || n_covered AS message FROM dec
 UNION ALL SELECT qid, rank, 'INFO', 'id=' || id || ' class=' || evidence_class || ' rank_vector=' || coalesce(rank_vector::VARCHAR, '-') || ' rank_lexical=' || coalesce(rank_lexical::VARCHAR, '-') FROM e4""",
+    "source_cards": f"""WITH {_ALL}, pub AS (SELECT e4.*, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN evidence_class = 'direct' THEN 0 ELSE 1 END, rank) AS n FROM e4 JOIN dec USING (qid) WHERE evidence_class = 'direct' OR (decision = 'accepted' AND strong_partial))
+SELECT qid, n::INTEGER AS n, CASE WHEN {_STRIP.format('titulo')} <> '' THEN {_STRIP.format('titulo')} ELSE 'Fonte ' || n END AS title, url AS link, printf('%.4f', score) AS score FROM pub""",
+    "benchmark_results": f"""WITH {_ALL}, f AS (SELECT 'https://' || min(source) || '.example/' AS u FROM documents), g AS (SELECT qid, count(*)::INTEGER AS n, min(CASE WHEN url = u THEN rank END)::INTEGER AS r, string_agg('doc_' || id, ',' ORDER BY rank) AS ids FROM e4, f GROUP BY qid)
+SELECT qid AS id, 200 AS status_http, decision = 'accepted' AS evidence_sufficient, decision <> 'accepted' AS ollama_skipped, reason, n AS n_sources, r AS expected_rank, ids FROM dec LEFT JOIN g USING (qid)""",
+    "point_lookup": "SELECT doc_id AS id, 'doc_' || doc_id AS documento_id, split_part(text, chr(10), 1) AS titulo, 'https://' || source || '.example/' AS url FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)",
+    "paired_vectors": "SELECT vec_id AS position, s_name, round(embedding[1]::DOUBLE, 6) AS x FROM supplier JOIN embeddings ON vec_id = s_suppkey - 1",
+    "staging_checks": "WITH k AS (SELECT doc_id % 100 AS d, (doc_id // 200) AS c, count(*) AS n, count(*) FILTER (trim(coalesce(text, '')) = '') AS b FROM documents GROUP BY ALL) SELECT count(DISTINCT d) AS documents, sum(n)::BIGINT AS chunks, count(*) FILTER (n > 1) AS repeated_keys, sum(b)::BIGINT AS blank_texts, count(DISTINCT d) = 100 AND count(*) FILTER (n > 1) = 0 AND sum(b) = 0 AS sound FROM k",
     "case_audit": """WITH c AS (SELECT CASE WHEN doc_id % 50 = 0 THEN 'same' ELSE doc_id::VARCHAR END AS id, lang, doc_id, CASE WHEN doc_id % 13 <> 0 THEN quality = 1 END AS a FROM documents JOIN labels USING (doc_id)),
 v AS (SELECT unnest(list_filter([CASE WHEN doc_id % 11 = 0 OR lang = '' THEN 'required_field' END, CASE WHEN doc_id % 3 = 2 THEN 'review_status' END, CASE WHEN a IS NULL THEN 'answerable' END, CASE WHEN a AND doc_id % 3 = 0 AND (doc_id % 2 = 0 OR doc_id % 9 = 0) THEN 'incomplete_answerable' END], lambda x: x IS NOT NULL)) AS violation FROM c
  UNION ALL SELECT 'duplicate_id' FROM c GROUP BY id HAVING count(*) > 1)
@@ -469,5 +511,6 @@ QUERIES = {
     "text_keys": text_keys, "synonym_terms": synonym_terms, "pdf_keywords": pdf_keywords, "repaired_text": repaired_text, "refine_blocks": refine_blocks, "page_articles": page_articles, "listing_links": listing_links, "canonical_pages": canonical_pages, "titled_text": titled_text,
     "pdf_round_trip": pdf_round_trip, "pdf_problems": pdf_problems, "reconciled_sources": reconciled_sources, "pdf_canonical": pdf_canonical, "bronze_round_trip": bronze_round_trip, "publish_status": publish_status, "upload_status": upload_status, "strict_sources": strict_sources,
     "jsonl_round_trip": jsonl_round_trip, "gold_tables": gold_tables, "vector_points": vector_points, "search_modes": search_modes, "fallback_questions": fallback_questions, "question_metrics": question_metrics, "context_texts": context_texts, "answers": answers, "diagnostic_lines": diagnostic_lines,
+    "source_cards": cards, "benchmark_results": benchmark_results, "point_lookup": point_lookup, "paired_vectors": paired_vectors, "staging_checks": staging_checks,
     "case_audit": case_audit, "case_results": case_results, "result_groups": result_groups, "human_marks": human_marks, "pass_counts": pass_counts, "metric_texts": metric_texts,
 }

@@ -266,6 +266,24 @@ def test_programme_block():
     assert clean_html("<p>Corpo.</p><hr><p><b>Outro</b></p><p>texto</p>").endswith("texto")
 
 
+def test_small_forms(spark):
+    from loamlake.operators.context import source_cards
+    from loamlake.plans.config import jdbc_options
+
+    assert jdbc_options({"DATABASE_URL": "postgresql://u:p%40@h:1/n"}) == {"url": "jdbc:postgresql://h:1/n", "user": "u", "password": "p@", "driver": "org.postgresql.Driver"}
+    assert jdbc_options({"POSTGRES_DB": "n"})["url"] == "jdbc:postgresql://localhost:5432/n"
+    with pytest.raises(ValueError):
+        jdbc_options({})
+    rows = spark.createDataFrame([(1, 2, " ", "javascript:x", 0.5), (1, 1, "T", "HTTPS://a/b", 1 / 3), (1, 3, None, None, None)], "qid long, context_rank int, titulo string, url string, score double")
+    got = [tuple(r) for r in source_cards(rows).orderBy("n").collect()]
+    assert got[:2] == [(1, 1, "T", "HTTPS://a/b", "0.3333"), (1, 2, "Fonte 2", None, "0.5000")] and got[2][2:4] == ("Fonte 3", None)
+    a = spark.createDataFrame([(0, "x"), (1, "y")], "position int, t string")
+    assert [tuple(r) for r in gold.zip_positions(a, a.withColumnRenamed("t", "v")).orderBy("position").collect()] == [(0, "x", "x"), (1, "y", "y")]
+    with pytest.raises(Exception, match="unpaired position 1"):
+        gold.zip_positions(a, a.limit(1).withColumnRenamed("t", "v")).collect()
+    assert gold.by_ids(a.withColumnRenamed("position", "id"), spark.createDataFrame([], "id int")).count() == 0
+
+
 def test_crawl():
     listing = lambda *paths: "<main>" + "".join(f"<article class=post><a href='{p}'>x</a></article>" for p in paths) + "</main>"
     site = {1: listing("/a/1", "/a/2"), 2: listing("/a/2", "/a/3"), 3: listing("/a/3")}
