@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamlake.llm.common import cut, free_name, table
+from loamlake.llm.common import cut, forget, free_name, table
 
 #: Lines under the rolling hash; a boundary needs the smallest of three neighbouring values.
 WINDOW = 2
@@ -88,7 +88,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """
     docs = docs.drop("removed_chunks", "removed_lines")
     base = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("did"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
-    found = _hashed_chunks(base)
+    found = cut(_hashed_chunks(base))
     place = F.struct("did", "th", "pos")
     # written before the join: a small table is sent out, and for a large one the join has a shuffle of its own on
     # either side, so that Spark can split a chunk that a large share of all texts holds
@@ -99,7 +99,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     texts = base.join(marked.hint("shuffle_hash"), ["did", "th"]).select("did", "th", "cs", F.split("text", "\n").alias("lines"))
     body = lambda c: F.encode(F.array_join(F.slice("lines", c["start"] + 1, c["size"]), "\n"), "utf-8")
     cut_out = F.transform("cs", lambda c: F.struct(c["start"], c["size"], c["pos"], c["hash"], c["first"], body(c).alias("bytes"), F.size("lines").alias("of")))
-    pieces = cut(texts.select("did", "th", F.explode(cut_out).alias("c")).select("did", "th", "c.*"))
+    # the shuffle of the texts goes before the documents are shuffled at the end
+    pieces = cut(texts.select("did", "th", F.explode(cut_out).alias("c")).select("did", "th", "c.*"), tidy=True)
+    forget(found, repeated)
     lead = cut(pieces.where("first").select("hash", F.col("bytes").alias("lead")).dropDuplicates(["hash"]))
     compared = pieces.where("not first").join(lead, "hash")
     gone = compared.where("bytes = lead").select("did", "th", "start", "size")
