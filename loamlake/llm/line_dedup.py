@@ -109,6 +109,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     other = compared.where("bytes <> lead").select("did", "th", "pos", "start", "size", "bytes")
     ones = other.groupBy("bytes").agg(F.min(place).alias("one"))
     gone = gone.unionByName(other.join(ones, "bytes").where(place != F.col("one")).select("did", "th", "start", "size"))
+    # what goes is small; the shuffles of the bytes end here
+    gone = cut(gone, tidy=True)
+    forget(pieces, lead)
     name, spans, h, lines = (free_name(docs, x) for x in ("gone_id", "gone_spans", "gone_hash", "gone_lines"))
     per_doc = gone.groupBy("did", "th").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias(spans))
     per_doc = per_doc.select(F.col("did").alias(name), F.col("th").alias(h), spans).hint("shuffle_hash")
