@@ -23,7 +23,9 @@ from loamlake.plans.lake_queries import _FOLD, _IDENT, _STRIP
 from loamlake.sources import bronze, pages, pdf, sinks
 from loamlake.sources.scratch import scratch
 
-ID = F.col("doc_id").cast("string")
+
+def _id() -> Column:
+    return F.col("doc_id").cast("string")
 
 
 def _letters(text: Column) -> Column:
@@ -50,7 +52,7 @@ def text_keys(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(
         "doc_id", T.editorial_key(F.col("block")).alias("editorial"), T.comparable_heading(F.col("block")).alias("heading"), T.semantic_text(F.col("block")).alias("semantic"),
         T.clean_author(F.concat(F.lit(" Por "), F.col("first"), F.lit("** "))).alias("author"), T.paragraph_count(F.concat_ws("\n\n", "first", F.lit(" "), "block")).alias("paragraphs"),
-        T.safe_pdf_name(F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("__"), F.lit("a b/"), ID, _pick(3, "", "", ".PDF")))).alias("file"),
+        T.safe_pdf_name(F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("__"), F.lit("a b/"), _id(), _pick(3, "", "", ".PDF")))).alias("file"),
     )
 
 
@@ -61,7 +63,7 @@ def synonym_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pdf_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    words = F.concat(F.lit("Canonical-ID="), ID, F.lit("; a = b=c ;;=x;skipped;lang="), "lang", F.when(F.col("doc_id") % 2 == 0, ";lang=last").otherwise(""))
+    words = F.concat(F.lit("Canonical-ID="), _id(), F.lit("; a = b=c ;;=x;skipped;lang="), "lang", F.when(F.col("doc_id") % 2 == 0, ";lang=last").otherwise(""))
     m = T.pdf_keywords(words)
     return read(spark, sf, "documents").select("doc_id", m["Canonical-ID"].alias("id"), m["a"].alias("a"), m["lang"].alias("lang"), F.size(m).alias("n"))
 
@@ -83,9 +85,9 @@ POLICY = "Política de uso: a reprodução de matérias é livre; fotos devem se
 def refine_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Texts with a repeated title, a byline, notices and a policy around a body."""
     some = lambda n, block: F.when(F.col("doc_id") % n == 0, F.lit(block) if isinstance(block, str) else block)
-    title = F.concat(F.lit("Título "), ID)
+    title = F.concat(F.lit("Título "), _id())
     body = F.concat(F.lit("Corpo "), _letters(F.col("text")))
-    blocks = F.concat_ws("\n \t\n\n", some(2, F.concat(F.lit("## **Titulo** "), ID, F.lit("!"))), some(3, "Por Ana Lima, do campus"), body, F.concat(F.lit("Fim "), ID), some(7, "---"), some(7, POLICY), some(5, NOTICE), some(10, F.concat(F.lit("*"), F.lit(NOTICE), F.lit("*"))))
+    blocks = F.concat_ws("\n \t\n\n", some(2, F.concat(F.lit("## **Titulo** "), _id(), F.lit("!"))), some(3, "Por Ana Lima, do campus"), body, F.concat(F.lit("Fim "), _id()), some(7, "---"), some(7, POLICY), some(5, NOTICE), some(10, F.concat(F.lit("*"), F.lit(NOTICE), F.lit("*"))))
     d = read(spark, sf, "documents").select("doc_id", editorial.refined(blocks, title, F.lit("Ana Lima")).alias("r"))
     return d.select("doc_id", "r.text", F.array_join(F.transform("r.removals", lambda x: x["rule"]), ",").alias("rules"))
 
@@ -98,7 +100,7 @@ def _built_pages(spark: SparkSession, sf: str) -> DataFrame:
     d = read(spark, sf, "documents").select("doc_id", F.concat(F.repeat(F.lit("palavra "), 40), _letters(F.col("text"))).alias("b"))
     before, after = _PAGE_BODY.split("{0}")
     content = F.concat(F.lit(before), "b", F.lit(after))
-    head = F.concat(F.lit("<html><head><title> T "), ID, F.lit(" </title>"), _pick(3, '<meta property="og:title" content=" OG ">', "", ""), _pick(5, '<meta property="article:published_time" content="2026-01-02">', "", "", "", ""), _pick(4, "", "<meta name='author' content='Por Bia Sá*'>", "", ""), F.lit("</head><body>"))
+    head = F.concat(F.lit("<html><head><title> T "), _id(), F.lit(" </title>"), _pick(3, '<meta property="og:title" content=" OG ">', "", ""), _pick(5, '<meta property="article:published_time" content="2026-01-02">', "", "", "", ""), _pick(4, "", "<meta name='author' content='Por Bia Sá*'>", "", ""), F.lit("</head><body>"))
     lead = F.concat(
         _pick(3, "", "<h1>H <i>um</i></h1>", ""), _pick(5, "", "<span class='x entry-date'> 3/2/26 </span>", "<time datetime='2026-03-04'>ontem</time>", "<p>Em 05/03/2026.</p>", ""),
         _pick(4, "<p class=autor>Por Ana Lima</p>", "", "<div class=entry-meta>Por Rui Sá 05/03/2026</div>", ""), _pick(3, "<a rel='category tag' href='/c'>Ciências</a>", "<div class=breadcrumb><a href='/'>Home</a></div>", ""),
@@ -106,7 +108,7 @@ def _built_pages(spark: SparkSession, sf: str) -> DataFrame:
     main = F.when(F.col("doc_id") % 4 == 3, F.lit("<main>curto</main>")).otherwise(
         F.concat(F.lit("<main>"), lead, _pick(4, "<div class='entry-content'>", "<div class='post-content wide'>", "<div class=elementor><div class='elementor-widget-text-editor'><div class='elementor-widget-container'>", ""), content, _pick(4, "</div>", "</div>", "</div></div></div>", ""), F.lit("</main>"))
     )
-    url = F.concat(F.lit("https://s.example/"), _pick(2, "ciencias/", "nova-area/"), ID)
+    url = F.concat(F.lit("https://s.example/"), _pick(2, "ciencias/", "nova-area/"), _id())
     return d.select("doc_id", url.alias("url"), F.concat(head, main, F.lit("</body></html>")).alias("html"))
 
 
@@ -117,7 +119,7 @@ def page_articles(spark: SparkSession, sf: str) -> DataFrame:
 def listing_links(spark: SparkSession, sf: str) -> DataFrame:
     """Listing pages of post elements, or of headings only; addresses of sections are no articles."""
     section = _pick(4, "ciencias/", "tag/", "nova-area/", "page/")
-    anchor = F.concat(F.lit("<a href='/"), section, F.lit("n-"), ID, F.lit("?x=1#y'>A</a>"))
+    anchor = F.concat(F.lit("<a href='/"), section, F.lit("n-"), _id(), F.lit("?x=1#y'>A</a>"))
     post = F.concat(F.lit("<article class='post z'>"), anchor, F.lit("<a href='/b/c'>B</a></article>"))
     html = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<main>"), post, post, F.lit("<article class=post><a href='https://o.example/a/b'>O</a></article></main><h3><a href='/h/i'>H</a></h3>"))).otherwise(F.concat(F.lit("<h3>"), anchor, F.lit("</h3><h3><a href='https://s.example/x/y/'>X</a></h3>")))
     found = pages.extract_links(read(spark, sf, "documents").select("doc_id", html.alias("html")), "https://s.example")
@@ -134,7 +136,7 @@ def canonical_pages(spark: SparkSession, sf: str) -> DataFrame:
 def titled_text(spark: SparkSession, sf: str) -> DataFrame:
     """A heading before texts that don't begin with it."""
     first = F.substring_index("text", "\n", 1)
-    title = T.strip(F.when(F.col("doc_id") % 2 == 0, first).otherwise(F.concat(F.lit("Outro "), ID)))
+    title = T.strip(F.when(F.col("doc_id") % 2 == 0, first).otherwise(F.concat(F.lit("Outro "), _id())))
     return read(spark, sf, "documents").select("doc_id", F.md5(silver.with_title(T.strip(F.col("text")), title)).alias("titled"))
 
 
@@ -143,8 +145,8 @@ def titled_text(spark: SparkSession, sf: str) -> DataFrame:
 
 def _pdf_sources(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select(
-        F.concat(F.lit("a_"), F.lpad(ID, 6, "0")).alias("document_id"), F.concat(F.lit("Documento "), ID, F.lit(" (ação)")).alias("titulo"), F.col("source").alias("autor"), F.lit("2026-01-01").alias("data"), F.col("lang").alias("categoria"),
-        F.concat(F.lit("https://s.example/"), "lang", F.lit("/"), ID).alias("url"), F.col("text").alias("conteudo_texto"), F.sha2("text", 256).alias("source_sha"),
+        F.concat(F.lit("a_"), F.lpad(_id(), 6, "0")).alias("document_id"), F.concat(F.lit("Documento "), _id(), F.lit(" (ação)")).alias("titulo"), F.col("source").alias("autor"), F.lit("2026-01-01").alias("data"), F.col("lang").alias("categoria"),
+        F.concat(F.lit("https://s.example/"), "lang", F.lit("/"), _id()).alias("url"), F.col("text").alias("conteudo_texto"), F.sha2("text", 256).alias("source_sha"),
     )
 
 
@@ -170,14 +172,14 @@ def pdf_problems(spark: SparkSession, sf: str) -> DataFrame:
 
 def _twins(spark: SparkSession, sf: str, side: str) -> DataFrame:
     """Canonical documents of short texts; the PDF side differs by doc_id: not, by a word, by its hash, by having none."""
-    text = F.trim(F.repeat(F.concat("lang", F.lit(" "), "source", F.lit(" "), ID, F.lit(" ")), (F.col("doc_id") % 20 + 1).cast("int")))
+    text = F.trim(F.repeat(F.concat("lang", F.lit(" "), "source", F.lit(" "), _id(), F.lit(" ")), (F.col("doc_id") % 20 + 1).cast("int")))
     sha = F.md5("text")
     if side == "pdf":
         text = F.when(F.col("doc_id") % 4 == 1, F.concat(text, F.lit(" acrescimo"))).otherwise(text)
         sha = F.when(F.col("doc_id") % 4 == 0, sha).when(F.col("doc_id") % 4 == 2, F.lit("other"))
-    name = F.concat(F.lit("a_"), ID)
+    name = F.concat(F.lit("a_"), _id())
     d = read(spark, sf, "documents").select(
-        name.alias("document_id"), F.concat(F.lit("T "), ID).alias("title"), F.lit("Ana").alias("author"), F.lit("2026").alias("published_at"), F.col("lang").alias("category"), F.lit("https://s.example/a").alias("url"), text.alias("text"),
+        name.alias("document_id"), F.concat(F.lit("T "), _id()).alias("title"), F.lit("Ana").alias("author"), F.lit("2026").alias("published_at"), F.col("lang").alias("category"), F.lit("https://s.example/a").alias("url"), text.alias("text"),
         F.concat(name, F.lit(f".{side}")).alias("object_name"), F.md5(name).alias("binary_sha256"), sha.alias("source_content_sha256"),
     )
     return silver.canonical(d, side)
@@ -355,7 +357,7 @@ def case_audit(spark: SparkSession, sf: str) -> DataFrame:
     d = _labelled(spark, sf)
     blank = F.lit("")
     values = {
-        "id": F.when(F.col("doc_id") % 50 == 0, F.lit("same")).otherwise(ID), "categoria": F.col("lang"), "pergunta": F.when(F.col("doc_id") % 11 == 0, blank).otherwise(F.lit("p")), "answerable": F.when(F.col("doc_id") % 13 != 0, F.col("quality") == 1),
+        "id": F.when(F.col("doc_id") % 50 == 0, F.lit("same")).otherwise(_id()), "categoria": F.col("lang"), "pergunta": F.when(F.col("doc_id") % 11 == 0, blank).otherwise(F.lit("p")), "answerable": F.when(F.col("doc_id") % 13 != 0, F.col("quality") == 1),
         "review_status": _pick(3, "approved", "pending", "odd"), "trecho_referencia": F.when(F.col("doc_id") % 2 == 0, blank).otherwise(F.lit("t")), "document_id_esperado": blank, "url_esperada": F.when(F.col("doc_id") % 9 == 0, blank).otherwise(F.lit("u")),
     }
     cases = d.select(*[values.get(c, blank).alias(c) for c in evaluate.CASE_FIELDS])
@@ -365,9 +367,9 @@ def case_audit(spark: SparkSession, sf: str) -> DataFrame:
 def case_results(spark: SparkSession, sf: str) -> DataFrame:
     """Cases joined with their results: where the expected source stands among five, and the outcome."""
     d = _labelled(spark, sf)
-    cases = d.select(ID.alias("id"), F.lit("approved").alias("review_status"), (F.col("quality") == 1).alias("answerable"), F.when(F.col("doc_id") % 3 == 0, F.lit("d2")).alias("want_d"), F.when(F.col("doc_id") % 3 == 1, F.lit("u4")).alias("want_u"), F.lit("").alias("want_o"))
+    cases = d.select(_id().alias("id"), F.lit("approved").alias("review_status"), (F.col("quality") == 1).alias("answerable"), F.when(F.col("doc_id") % 3 == 0, F.lit("d2")).alias("want_d"), F.when(F.col("doc_id") % 3 == 1, F.lit("u4")).alias("want_u"), F.lit("").alias("want_o"))
     sources = F.array(*[F.struct(F.lit(f"d{i}").alias("document_id"), F.lit(f"u{i}").alias("url"), F.lit("").alias("source_object")) for i in range(1, 6)])
-    results = d.select(ID.alias("id"), F.lit(200).alias("status_http"), (F.col("n_chars") > 1000).alias("accepted"), sources.alias("fontes"))
+    results = d.select(_id().alias("id"), F.lit(200).alias("status_http"), (F.col("n_chars") > 1000).alias("accepted"), sources.alias("fontes"))
     both = evaluate.joined(cases, results)
     rank = evaluate.source_rank(F.col("r.fontes"), F.col("want_d"), F.col("want_u"), F.col("want_o"))
     return both.withColumn("rank", rank).select("id", F.col("rank").cast("int").alias("rank"), evaluate.outcome(F.col("answerable"), F.col("r.accepted"), F.col("rank")).alias("outcome"))
