@@ -125,3 +125,127 @@ def test_keys_in_common_places():
         assert ("key", 4, 4 + len(der.hex())) in find_secrets(f"= 0x{der.hex()};")
     for harmless in ("PRIVATE_KEY=" + base64.b64encode(rng.randbytes(300)).decode(), "0x" + rng.randbytes(60).hex(), "a-M" + "A" * 200):
         assert not any(k == "key" for k, _, _ in find_secrets(harmless))
+
+
+def parses_as_key(data):
+    """An independent reading: DER by recursion, OpenSSH by its counts."""
+
+    def value(at, end):  # (tag, start, stop) or None
+        if end - at < 2:
+            return None
+        tag, n, at = data[at], data[at + 1], at + 2
+        if n > 127:
+            k = n - 128
+            if not 1 <= k <= 4 or at + k > end or data[at] == 0 or (n := int.from_bytes(data[at : at + k], "big")) < 128:
+                return None
+            at += k
+        return (tag, at, at + n) if at + n <= end else None
+
+    def tree(at, end):
+        out = []
+        while at < end:
+            if (v := value(at, end)) is None:
+                raise ValueError
+            out.append((v[0], data[v[1] : v[2]], tree(v[1], v[2]) if v[0] & 0x20 else None))
+            at = v[2]
+        return out
+
+    if data.startswith(b"openssh-key-v1\x00"):
+        at, parts = 15, 0
+        for k in range(3):
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+        parts, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+        if not 1 <= parts <= 16:
+            return False
+        for _ in range(parts + 1):
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+        return at == len(data)
+    try:
+        top = tree(0, len(data))
+    except ValueError:
+        return False
+    if len(top) != 1 or top[0][0] != 0x30:
+        return False
+    inner = top[0][2]
+    tags = [t for t, _, _ in inner]
+    version = int.from_bytes(inner[0][1], "big") if tags[:1] == [2] else None
+    has_oid = lambda k: k < len(inner) and inner[k][0] == 0x30 and bool(inner[k][2]) and inner[k][2][0][0] == 6
+    if version in (0, 1) and tags[1:9] == [2] * 8:
+        return len(inner[1][1]) >= 32
+    if version == 1 and tags[1:2] == [4] and len(inner[1][1]) >= 16:
+        return True
+    if version in (0, 1):
+        return has_oid(1) and tags[2:3] == [4]
+    return version is None and has_oid(0) and tags == [0x30, 4]
+
+
+def brute_spans(text):
+    """Tokens and keys by trying every place."""
+    word = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    found = set()
+
+    def run_end(at, chars):
+        while at < len(text) and text[at] in chars:
+            at += 1
+        return at
+
+    def decoded(body):
+        body = body.rstrip("=").replace("-", "+").replace("_", "/")
+        try:
+            return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+        except ValueError:
+            return b""
+
+    at = 0
+    while at < len(text):  # signed tokens
+        ends = [at]
+        for k in range(3):
+            ends.append(run_end(ends[-1] + (k > 0), word | set("_-")))
+            if k < 2 and (ends[-1] >= len(text) or text[ends[-1]] != "."):
+                break
+        if len(ends) == 4 and text[at] == "e" and text[at + 1 : at + 2] in ("w", "y") and ends[1] - at >= 8 and ends[2] - ends[1] >= 4 and (at == 0 or text[at - 1] not in word | set("_.-")):
+            try:
+                header, claims = json.loads(decoded(text[at : ends[1]]) or b""), json.loads(decoded(text[ends[1] + 1 : ends[2]]) or b"")
+                if isinstance(header, dict) and isinstance(claims, dict) and isinstance(header.get("alg"), str):
+                    found.add(("token", at, ends[3]))
+                    at = ends[3]
+                    continue
+            except ValueError:
+                pass
+        at += 1
+    base = word | set("+/_-")
+    for a in range(len(text)):
+        if text[a] in base and (a == 0 or text[a - 1] not in base):
+            b = run_end(a, base)
+            e = run_end(b, "=")
+            if b - a >= 40 and e - b <= 2 and (e == len(text) or text[e] not in base):
+                for k in [a, *(k for k in range(a + 1, b) if text[k - 1] in "+/_-")]:
+                    if (data := decoded(text[k:e])) and parses_as_key(data):
+                        found.add(("key", k, e))
+                        break
+        if text[a] in word and (a == 0 or text[a - 1] not in word):
+            b = a + 2 if text[a : a + 2] in ("0x", "0X") else a
+            e = run_end(b, "0123456789abcdefABCDEF")
+            if (e - b) % 2 == 0 and e - b >= 80 and (e == len(text) or text[e] not in word) and parses_as_key(bytes.fromhex(text[b:e])):
+                found.add(("key", b, e))
+    return found
+
+
+def test_method_spans_equal_brute_force():
+    """Keys and tokens between delimiters, noise and broken copies of themselves: the spans that trying every place gives."""
+    rng = random.Random(9)
+    url = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    algorithm = tlv(0x30, tlv(6, b"\x2a\x86\x48"))
+    hits = 0
+    for _ in range(400):
+        der = rng.choice([rsa, lambda r: tlv(0x30, tlv(2, b"\x00") + algorithm + tlv(4, r.randbytes(60))), lambda r: tlv(0x30, tlv(2, b"\x01") + tlv(4, r.randbytes(32))), openssh, lambda r: tlv(0x30, algorithm + tlv(4, r.randbytes(80))), lambda r: r.randbytes(90)])(rng)
+        if rng.random() < 0.2:  # broken: a byte gone or changed
+            k = rng.randrange(len(der))
+            der = der[:k] + rng.choice([b"", rng.randbytes(1)]) + der[k + 1 :]
+        jwt = ".".join((url(rng.choice([{"alg": "HS256"}, {"typ": "JWT"}, ["alg"], {"alg": 5}])), url(rng.choice([{"sub": 1}, 7, {}])), rng.choice(["", "c2ln", "x_-y"])))
+        pieces = [base64.b64encode(der).decode(), base64.urlsafe_b64encode(der).decode().rstrip("="), der.hex(), f"0x{der.hex().upper()}", jwt, "word", "x" * 50, base64.b64encode(rng.randbytes(60)).decode()]
+        text = "".join(rng.choice(pieces) + rng.choice([" ", "\n", "=", "-", "_", "/", ".", ":", '"', "é", ""]) for _ in range(rng.randrange(1, 6)))
+        got = {x for x in find_secrets(text) if x[0] in ("token", "key")}
+        assert got == brute_spans(text), text
+        hits += len(got)
+    assert hits > 200
