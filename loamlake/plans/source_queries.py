@@ -278,10 +278,13 @@ def search_modes(spark: SparkSession, sf: str) -> DataFrame:
     return pick("vector").unionByName(pick("lexical"))
 
 
+_HOST = r"://(.*)\.example\."
+
+
 def fallback_questions(spark: SparkSession, sf: str) -> DataFrame:
-    """Questions of page addresses: those whose words no document holds fall back to the vector ranking."""
+    """Questions of the names of hosts: those that no document holds fall back to the vector ranking."""
     e = engine(spark, sf)
-    q = read(spark, sf, "pages").select(F.col("page_id").alias("qid"), F.coalesce(F.when(F.trim("url") != "", F.col("url")), F.lit("?")).alias("question"))
+    q = read(spark, sf, "pages").select(F.col("page_id").alias("qid"), F.concat(F.lit("? "), F.coalesce(F.regexp_extract("url", _HOST, 1), F.lit(""))).alias("question"))
     return e.search(q, 5).select("qid", "id", "mode", "rank")
 
 
@@ -432,7 +435,7 @@ cs AS (SELECT qid, id, titulo, {_STRIP.format('texto')} AS body, row_number() OV
 cu AS (SELECT * FROM cs WHERE body <> '' QUALIFY row_number() OVER (PARTITION BY qid, {_IDENT.format('body')} ORDER BY cr) = 1),
 cn AS (SELECT qid, id, CASE WHEN titulo <> '' THEN titulo ELSE 'Sem título' END AS title, body, row_number() OVER (PARTITION BY qid ORDER BY cr) AS k FROM cu QUALIFY k <= 3),{",".join(map(_pack, (1, 2, 3)))}"""
 _WORD = "list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'))"
-_PAGE_QUESTIONS = _BASE.replace(f"SELECT item_id AS qid, {_tok('text')} AS t FROM benchmark", f"SELECT page_id AS qid, {_tok('url')} AS t FROM pages")
+_PAGE_QUESTIONS = _BASE.replace(f"SELECT item_id AS qid, {_tok('text')} AS t FROM benchmark", "SELECT page_id AS qid, " + _tok(f"regexp_extract(url, '{_HOST}', 1)") + " AS t FROM pages")
 
 SQL = {
     "text_keys": f"""WITH d AS (SELECT doc_id, {_FL} AS f FROM documents), k AS (SELECT *, {_FOLD.format("f || ' Mais' || chr(8203) || '!'")} AS low FROM d)
