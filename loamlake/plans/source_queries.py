@@ -5,12 +5,16 @@ Each builds its inputs from whole tables in a way that makes the right result pl
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamlake.functions import editorial
 from loamlake.functions import text as T
-from loamlake.operators import evaluate, gold, silver
+from loamlake.operators import evaluate, gold, inventory, silver
 from loamlake.operators.context import REFUSAL, pack_context, source_cards
 from loamlake.operators.evidence import context_sources, public_sources
 from loamlake.operators.vector import payload_id
@@ -19,6 +23,7 @@ from loamlake.plans.driver_queries import _ALL, _BASE, _DEDUP, _LEX, _RRF, _VEC,
 from loamlake.plans.benchmark import run_cases
 from loamlake.plans.diagnostics import log_lines
 from loamlake.plans.engine import public_metrics
+from loamlake.plans.load import LoadRequest, run_pipeline
 from loamlake.plans.lake_queries import _FOLD, _IDENT, _STRIP
 from loamlake.sources import bronze, pages, pdf, sinks
 from loamlake.sources.scratch import scratch
@@ -268,6 +273,79 @@ def vector_points(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", F.element_at("payload", F.lit("tag")).alias("tag"), F.size("payload").alias("n_payload"), payload_id(F.col("payload"), F.col("id")).alias("row_id"), "change")
 
 
+def restructured_articles(spark: SparkSession, sf: str) -> DataFrame:
+    """Articles whose bodies repeat title and byline, with their text beside what they had."""
+    d = read(spark, sf, "documents")
+    before, after = _PAGE_BODY.split("{0}")
+    title = F.concat(F.lit("Título "), _id())
+    html = F.concat(F.lit("<h1>"), title, F.lit("</h1><p>Por Ana Lima</p>"), F.lit(before), F.concat(F.lit("palavra "), _letters(F.col("text"))), F.lit(after))
+    out = bronze.restructure(d.select("doc_id", title.alias("titulo"), F.lit("Ana Lima").alias("autor"), html.alias("conteudo")))
+    return out.select("doc_id", (F.col("conteudo_html") == F.col("conteudo")).alias("same"), "conteudo_texto")
+
+
+def boilerplate_removed(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts with a share-bar link, and some that end with the block of a programme on air."""
+    block = F.when(F.col("doc_id") % 3 == 0, F.lit("\n---\n\n**Programa no Ar**\n\n[Programa no Ar](https://s.example/radio/) no ar veiculado pela Rede Exemplo, de segunda\n\na sexta")).otherwise(F.lit(""))
+    text = F.concat(F.lit("[Pular barra de compartilhamento]( #main-content )\n"), F.lit("Corpo "), _letters(F.col("text")), block)
+    return read(spark, sf, "documents").select("doc_id", T.strip(T.remove_boilerplate(text)).alias("text"))
+
+
+def _validated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = []
+        for r in b.to_dict("records"):
+            number = int(r["document_id"][2:])
+            wanted = r["document_id"] if number % 3 else "a_other"
+            rows.append((r["document_id"], ",".join(pdf.validate(pdf.article_pdf(r, r["document_id"], r["source_sha"]), r, wanted, r["source_sha"]))))
+        yield pd.DataFrame(rows, columns=["document_id", "wrong"])
+
+
+def pdf_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """PDFs held against their articles; a third are claimed for another document."""
+    source = _pdf_sources(spark, sf).where(F.col("conteudo_texto").rlike(r"(?U)\S"))
+    return source.mapInPandas(_validated, "document_id string, wrong string")
+
+
+def load_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Files loaded into text and vector tables twice; the second time nothing is new."""
+    folder = scratch(spark)
+    sinks.publish_files(sinks.article_files(_nation_articles(spark, sf)), folder)
+    tag = folder[-32:]
+    request = LoadRequest(folder, chunks_table=f"chunks_{tag}", vectors_table=f"vectors_{tag}")
+    one, two = (run_pipeline(spark, request).first() for _ in range(2))
+    for t in (request.chunks_table, f"{request.chunks_table}__changes", request.vectors_table):
+        spark.sql(f"DROP TABLE IF EXISTS {t}")
+    return spark.createDataFrame([(n, *(r[c] for c in ("documents", "chunks", "inserted", "objects", "vectors", "message"))) for n, r in ((1, one), (2, two))], "run int, documents long, chunks long, inserted long, objects long, vectors long, message string")
+
+
+def audit_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """An audit with nested columns as CSV, read again."""
+    folder = scratch(spark)
+    sinks.write_audit_csv(read(spark, sf, "supplier").select("s_suppkey", F.concat("s_name", F.lit(', "x"')).alias("name"), F.array(F.col("s_nationkey"), F.lit(1)).alias("l"), F.create_map(F.lit("k"), "s_name").alias("m")), folder)
+    return spark.read.option("header", "true").option("escape", '"').csv(folder)
+
+
+def staged_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Two tables put in place together; then a set of which one fails leaves both as they were."""
+    tag = scratch(spark)[-32:]
+    a, b = f"staged_a_{tag}", f"staged_b_{tag}"
+    n = read(spark, sf, "nation")
+    gold.stage_all(spark, {a: n.select("n_nationkey"), b: n.select("n_name")})
+    failed = False
+    try:
+        gold.stage_all(spark, {a: n.limit(1).select("n_nationkey"), b: n.select(F.raise_error(F.lit("no")).alias("n_name"))})
+    except PySparkException:
+        failed = True
+    return spark.table(a).agg(F.count(F.lit(1)).alias("a"), F.lit(spark.table(b).count()).alias("b"), F.lit(failed).alias("failed"), F.lit(spark.catalog.tableExists(f"{a}__staging")).alias("left_over"))
+
+
+def metadata_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields of documents that differ from those of an earlier state, nulls included."""
+    d = read(spark, sf, "documents").select("doc_id", "lang", "source", F.when(F.col("doc_id") % 7 != 0, F.col("n_chars")).alias("n_chars"))
+    other = d.withColumns({"lang": F.when(F.col("doc_id") % 5 == 0, F.lit("xx")).otherwise(F.col("lang")), "source": F.when(F.col("doc_id") % 11 != 0, F.col("source"))})
+    return inventory.metadata_audit(d, other, "doc_id", ["lang", "source", "n_chars"]).select("doc_id", F.array_join("differing", ",").alias("differing"), "verdict")
+
+
 # --- retrieval -----------------------------------------------------------------------------------------------------
 
 
@@ -498,6 +576,14 @@ SELECT qid AS id, 200 AS status_http, decision = 'accepted' AS evidence_sufficie
     "point_lookup": "SELECT doc_id AS id, 'doc_' || doc_id AS documento_id, split_part(text, chr(10), 1) AS titulo, 'https://' || source || '.example/' AS url FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)",
     "paired_vectors": "SELECT vec_id AS position, s_name, round(embedding[1]::DOUBLE, 6) AS x FROM supplier JOIN embeddings ON vec_id = s_suppkey - 1",
     "staging_checks": "WITH k AS (SELECT doc_id % 100 AS d, (doc_id // 200) AS c, count(*) AS n, count(*) FILTER (trim(coalesce(text, '')) = '') AS b FROM documents GROUP BY ALL) SELECT count(DISTINCT d) AS documents, sum(n)::BIGINT AS chunks, count(*) FILTER (n > 1) AS repeated_keys, sum(b)::BIGINT AS blank_texts, count(DISTINCT d) = 100 AND count(*) FILTER (n > 1) = 0 AND sum(b) = 0 AS sound FROM k",
+    "restructured_articles": f"SELECT doc_id, true AS same, '## Parte *x*' || chr(10) || chr(10) || trim('palavra ' || {_LETTERS}) || ' **fim** [ali](http://x.y/z).' || chr(10) || chr(10) || '- um' || chr(10) || '- dois' AS conteudo_texto FROM documents",
+    "boilerplate_removed": f"SELECT doc_id, trim('Corpo ' || {_LETTERS}) AS text FROM documents",
+    "pdf_validation": "SELECT 'a_' || lpad(doc_id::VARCHAR, 6, '0') AS document_id, CASE WHEN doc_id % 3 = 0 THEN 'metadata Keywords' ELSE '' END AS wrong FROM documents WHERE regexp_matches(text, '\\S')",
+    "load_summary": "SELECT r AS run, count(*) AS documents, count(*) AS chunks, CASE r WHEN 1 THEN count(*) ELSE 0 END AS inserted, count(*) AS objects, CASE r WHEN 1 THEN count(*) ELSE 0 END AS vectors, 'done' AS message FROM nation, (SELECT unnest([1, 2]) AS r) GROUP BY r",
+    "audit_csv": """SELECT s_suppkey::VARCHAR AS s_suppkey, s_name || ', "x"' AS name, '[' || s_nationkey || ',1]' AS l, '{"k":"' || s_name || '"}' AS m FROM supplier""",
+    "staged_tables": "SELECT count(*) AS a, count(*) AS b, true AS failed, false AS left_over FROM nation",
+    "metadata_audit": """WITH d AS (SELECT doc_id, list_filter([CASE WHEN doc_id % 5 = 0 AND lang IS DISTINCT FROM 'xx' THEN 'lang' END, CASE WHEN doc_id % 11 = 0 AND source IS NOT NULL THEN 'source' END], lambda x: x IS NOT NULL) AS l FROM documents)
+SELECT doc_id, array_to_string(l, ',') AS differing, CASE WHEN len(l) = 0 THEN 'APROVADO' ELSE 'REPROVADO' END AS verdict FROM d""",
     "case_audit": """WITH c AS (SELECT CASE WHEN doc_id % 50 = 0 THEN 'same' ELSE doc_id::VARCHAR END AS id, lang, doc_id, CASE WHEN doc_id % 13 <> 0 THEN quality = 1 END AS a FROM documents JOIN labels USING (doc_id)),
 v AS (SELECT unnest(list_filter([CASE WHEN doc_id % 11 = 0 OR lang = '' THEN 'required_field' END, CASE WHEN doc_id % 3 = 2 THEN 'review_status' END, CASE WHEN a IS NULL THEN 'answerable' END, CASE WHEN a AND doc_id % 3 = 0 AND (doc_id % 2 = 0 OR doc_id % 9 = 0) THEN 'incomplete_answerable' END], lambda x: x IS NOT NULL)) AS violation FROM c
  UNION ALL SELECT 'duplicate_id' FROM c GROUP BY id HAVING count(*) > 1)
@@ -516,6 +602,7 @@ QUERIES = {
     "text_keys": text_keys, "synonym_terms": synonym_terms, "pdf_keywords": pdf_keywords, "repaired_text": repaired_text, "refine_blocks": refine_blocks, "page_articles": page_articles, "listing_links": listing_links, "canonical_pages": canonical_pages, "titled_text": titled_text,
     "pdf_round_trip": pdf_round_trip, "pdf_problems": pdf_problems, "reconciled_sources": reconciled_sources, "pdf_canonical": pdf_canonical, "bronze_round_trip": bronze_round_trip, "publish_status": publish_status, "upload_status": upload_status, "strict_sources": strict_sources,
     "jsonl_round_trip": jsonl_round_trip, "gold_tables": gold_tables, "vector_points": vector_points, "search_modes": search_modes, "fallback_questions": fallback_questions, "question_metrics": question_metrics, "context_texts": context_texts, "answers": answers, "diagnostic_lines": diagnostic_lines,
+    "restructured_articles": restructured_articles, "boilerplate_removed": boilerplate_removed, "pdf_validation": pdf_validation, "load_summary": load_summary, "audit_csv": audit_csv, "staged_tables": staged_tables, "metadata_audit": metadata_audit,
     "source_cards": cards, "benchmark_results": benchmark_results, "point_lookup": point_lookup, "paired_vectors": paired_vectors, "staging_checks": staging_checks,
     "case_audit": case_audit, "case_results": case_results, "result_groups": result_groups, "human_marks": human_marks, "pass_counts": pass_counts, "metric_texts": metric_texts,
 }

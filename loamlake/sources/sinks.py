@@ -19,9 +19,9 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> int:
 
 
 def write_audit_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; nested columns as JSON."""
+    """CSV with a header and doubled quotes; nested columns as JSON."""
     nested = {f.name for f in df.schema.fields if isinstance(f.dataType, (ArrayType, MapType, StructType))}
-    df.select(*[F.to_json(c).alias(c) if c in nested else F.col(c) for c in df.columns]).write.mode("overwrite").option("header", "true").option("encoding", "UTF-8").csv(path)
+    df.select(*[F.to_json(c).alias(c) if c in nested else F.col(c) for c in df.columns]).write.mode("overwrite").options(header="true", encoding="UTF-8", escape='"').csv(path)
 
 
 def number_articles(articles: DataFrame, by: str, stem: str = "article") -> DataFrame:
