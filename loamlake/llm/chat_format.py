@@ -243,10 +243,22 @@ def _summaries(segments: DataFrame, model: Model, transcript: str) -> DataFrame:
     return segments.withColumn("_s", run(F.col(transcript))).select("*", "_s.*").drop("_s")
 
 
-def decode_segments(segments: DataFrame, model: Model, long: DataFrame, transcript: str = "transcript", out: str = "chat") -> DataFrame:
-    """segments (conv_id, segment, ...) with ``out``; those of the conversations in ``long`` are decoded as one.
+def _split(df: DataFrame, long: DataFrame, conv: Column, segment: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows of df that belong to a conversation in long, and the others.
+
+    A conversation of very many rows is spread over the joins by the numbers of its segments. Rows without a
+    segment (-1) or a conversation are among the others.
+    """
+    keys = long.select(F.col("conv_id").alias("_c"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_x"))
+    met = (conv == F.col("_c")) & (F.pmod(segment, F.lit(SALTS)).cast("int") == F.col("_x")) & (segment >= 0)
+    return df.join(keys, met, "left_semi"), df.join(keys, met, "left_anti")
+
+
+def _whole(mine: DataFrame, model: Model, outs: dict[str, str]) -> DataFrame:
+    """mine, a written table of the segments of long conversations, with a decoding of each transcript column in outs:
+    each conversation decoded as one.
 
-    Of a long conversation 42 numbers for each SEGMENT_TURNS turns meet in one task, never its text.
+    42 numbers for each segment meet in one task by conversation, never a text.
     """
 
     @F.pandas_udf("array<struct<segment:long,entry:array<double>,end:int>>")
@@ -258,18 +270,35 @@ def decode_segments(segments: DataFrame, model: Model, long: DataFrame, transcri
             outs.append([{"segment": x["segment"], "entry": e, "end": d} for x, (e, d) in zip(xs, told, strict=True)])
         return pd.Series(outs, dtype=object)
 
+    whole = mine
+    for transcript, out in outs.items():
+        told = _summaries(mine.select("conv_id", "segment", transcript), model, transcript).select("conv_id", F.struct("segment", "opening", "matrix").alias("x"))
+        told = told.groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("xs")).select("conv_id", F.explode(chained("xs")).alias("t"))
+        told = told.select("conv_id", F.col("t.segment").alias("segment"), F.col("t.entry").alias("_entry"), F.col("t.end").alias("_end"))
+        whole = parse_transcripts(whole.join(told, ["conv_id", "segment"]).select(*whole.columns, "_entry", "_end"), model, transcript, out, "_entry", "_end").drop("_entry", "_end")
+    return whole
+
+
+def decode_segments(segments: DataFrame, model: Model, long: DataFrame, transcript: str = "transcript", out: str = "chat") -> DataFrame:
+    """segments (conv_id, segment, ...) with ``out``; those of the conversations in ``long`` are decoded as one."""
     if long.isEmpty():
         return parse_transcripts(segments, model, transcript, out)
-    # a conversation of very many segments is spread over the join by their numbers
-    salt = F.pmod(F.coalesce("segment", F.lit(0)), F.lit(SALTS)).cast("int")
-    keys = long.select(F.col("conv_id").alias("_c"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_x"), F.lit(True).alias("_long"))
-    kept = cut(segments.withColumn("_y", salt).join(keys, (F.col("conv_id") == F.col("_c")) & (F.col("_y") == F.col("_x")) & (F.col("segment") >= 0), "left").drop("_c", "_x", "_y"))
-    mine = kept.where("_long")
-    told = _summaries(mine.select("conv_id", "segment", transcript), model, transcript).select("conv_id", F.struct("segment", "opening", "matrix").alias("x"))
-    told = told.groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("xs")).select("conv_id", F.explode(chained("xs")).alias("t"))
-    told = told.select("conv_id", F.col("t.segment").alias("segment"), F.col("t.entry").alias("_entry"), F.col("t.end").alias("_end"))
-    whole = parse_transcripts(mine.join(told, ["conv_id", "segment"]).select(*segments.columns, "_entry", "_end"), model, transcript, out, "_entry", "_end").drop("_entry", "_end")
-    return parse_transcripts(kept.where("_long is null").drop("_long"), model, transcript, out).unionByName(whole)
+    mine, rest = _split(segments, long, F.col("conv_id"), F.col("segment"))
+    return parse_transcripts(rest, model, transcript, out).unionByName(_whole(cut(mine), model, {transcript: out}))
+
+
+def _chats(conversations: DataFrame, model: Model, outs: dict[str, str]) -> DataFrame:
+    """to_transcripts of conversations with a decoding of each transcript column in outs. Only long conversations are
+    written before they are decoded; rows are told apart before any are gathered, so each is gathered once."""
+    conversations = conversations.select("conv_id", "turn", "role", "text")
+    odd, long = "odd_transcript" in outs, cut(long_conversations(conversations))
+    mine, rest = _split(conversations, long, F.col("conv_id"), segment_of(F.col("turn")))
+    short = to_transcripts(conversations if long.isEmpty() else rest, odd=odd)
+    for transcript, out in outs.items():
+        short = parse_transcripts(short, model, transcript, out)
+    if long.isEmpty():
+        return short
+    return short.unionByName(_whole(cut(to_transcripts(mine, odd=odd)), model, outs))
 
 
 def _odd(conv: Column, turn: Column, role: Column) -> Column:
@@ -334,16 +363,14 @@ def format_chats(conversations: DataFrame, model: Model | None = None) -> DataFr
     The rows of one conversation are one decoding; one after the other, they are what a single row would be.
     """
     model = fit_on(conversations) if model is None else model
-    return decode_segments(to_transcripts(conversations), model, long_conversations(conversations)).drop("transcript")
+    return _chats(conversations, model, {"transcript": "chat"}).drop("transcript")
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation twice: as marked as the table is (roles, rendered), and with its markers varied or gone, of
     which odd_roles are what the model recovers and right_lines how many lines of n_lines have their true role."""
     table_ = table(spark, sf_dir, "conversations")
-    model, long = fit_on(table_), long_conversations(table_)
-    segments = to_transcripts(table_, odd=True)
-    chats = decode_segments(decode_segments(segments, model, long), model, long, "odd_transcript", "odd")
+    chats = _chats(table_, fit_on(table_), {"transcript": "chat", "odd_transcript": "odd"})
     same = F.filter(F.sequence(F.lit(1), F.length("truth")), lambda i: F.substring("odd.line_roles", i, F.lit(1)) == F.substring("truth", i, F.lit(1)))
     return chats.select(
         "conv_id", "segment", "n_turns", "chat.n_lines", F.array_join("chat.roles", ",").alias("roles"), "chat.rendered", F.array_join("odd.roles", ",").alias("odd_roles"), F.col("odd.rendered").alias("odd_rendered"),
