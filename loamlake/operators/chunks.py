@@ -24,10 +24,11 @@ def chunk_documents(docs: DataFrame, text: str = "texto", size: int = SIZE, over
 
     A null or blank text has no chunks.
     """
-    body = strip(F.coalesce(F.col(text), F.lit("")))
-    cut = docs.withColumn("_w", windows(body, size, overlap))
+    # the trimmed text is a column of its own, so that no window trims it again; and an inner explode would make the
+    # optimizer cut every text once more, to drop those without windows first
+    cut = docs.withColumn("_b", strip(F.coalesce(F.col(text), F.lit("")))).withColumn("_w", windows(F.col("_b"), size, overlap))
     rest = [c for c in docs.columns if c != text]
-    rows = cut.select(*rest, F.posexplode("_w").alias("_p", text))
+    rows = cut.select(*rest, F.posexplode_outer("_w").alias("_p", text)).where(F.col(text).isNotNull())
     return rows.withColumns({"chunk_id": F.col("_p") + 1, "chunk_size": F.lit(size), "overlap": F.lit(overlap)}).drop("_p")
 
 
