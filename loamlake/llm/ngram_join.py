@@ -14,7 +14,9 @@
    many sets together, the sets of one prefix shingle and one band of sizes are a group of their own, without any
    closure; such as are connected already are done, and the others get pivots again. Where that would deal more
    tokens than a comparison of the whole group block by block, and within a shingle and band that pivots don't
-   settle, blocks are compared, so no link is lost and no task holds a whole group.
+   settle, blocks are compared, so no link is lost and no task holds a whole group. Blocks are made of the sets
+   outside the largest component of the group only, and all pairs of a block and a part of the group are counted by
+   matrix products.
 6. Components of the links give the result.
 """
 
@@ -28,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamlake.llm.blocks import PROBE_TOKENS, PROBES, Block
 from loamlake.llm.common import cut, forget, free_name, table
 from loamlake.llm.components import connected_components
 from loamlake.llm.trie import PrefixTree
@@ -37,8 +40,11 @@ from loamlake.llm.words import WordHashes, lower_words, shingle_set
 PIVOTS = 64
 TREE_TOKENS = 2_000_000
 SLICE_TOKENS = 400_000
+#: Sets in one block, and tokens in one, about.
+BLOCK = 512
+BLOCK_TOKENS = 1_000_000
 #: Rounds of pivots in each pass.
-ROUNDS = 4
+ROUNDS = 2
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("toks", pa.list_(pa.int64()))])
 _SETS_DDL = "doc_id long, text_hash long, n long, fp binary, toks array<long>"
@@ -95,8 +101,51 @@ def _links(rows: DataFrame, num: int, den: int) -> DataFrame:
                 b += linked
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+    return _together(rows).mapInArrow(run, "a long, b long").where("a <> b")
+
+
+def _block_links(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) links. rows as for _links; of each (grp, part) the pivots make a block, and meet each other and all others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, block, sets, tokens, first = None, None, [], 0, True
+
+        def meet() -> list[tuple[int, int]]:
+            """Links of the sets that wait: of the pivots with each other, or of what comes after them with the block."""
+            nonlocal block, sets, tokens
+            if not sets:
+                return []
+            block = Block(sets, num, den) if first else block
+            out = block.linked(sets) if block is not None else []
+            sets, tokens = [], 0
+            return out
+
+        for batch in batches:
+            links = []
+            grp, part, pivot, cls, n, comp = (batch.column(i).to_pylist() for i in range(6))
+            toks = batch.column(6)
+            for i in range(batch.num_rows):
+                if (grp[i], part[i]) != key:
+                    links += meet()
+                    key, block, first = (grp[i], part[i]), None, True
+                if first and not pivot[i]:
+                    links += meet()
+                    first = False
+                sets.append((cls[i], toks[i].values.to_numpy(), n[i], comp[i]))
+                tokens += len(sets[-1][1])
+                if not first and (len(sets) >= PROBES or tokens >= PROBE_TOKENS):
+                    links += meet()
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        links = meet()
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return _together(rows).mapInArrow(run, "a long, b long").where("a <> b")
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    """The rows of a (grp, part) in one task, one after another and pivots first."""
     dealt = rows.repartition("grp", "part").sortWithinPartitions("grp", "part", F.col("pivot").desc(), "cls")
-    return dealt.select("grp", "part", "pivot", "cls", "n", "comp", "toks").mapInArrow(run, "a long, b long").where("a <> b")
+    return dealt.select("grp", "part", "pivot", "cls", "n", "comp", "toks")
 
 
 def _hash_mod(salt: int, modulus: Column) -> Column:
@@ -134,7 +183,7 @@ def jaccard_links(sets: DataFrame, num: int, den: int) -> DataFrame:
     if members is None:
         return links
     # of the two ways to compare what is left of a group, the one that deals fewer tokens
-    sized = _sized(members).groupBy("grp").agg((F.sum("k") * F.max("blocks")).alias("whole"), F.sum(F.col("left").cast("long") * 2 * F.col("k")).alias("split"))
+    sized = _sized_blocks(members).groupBy("grp").agg((F.sum("k") * F.max("blocks")).alias("whole"), F.sum(F.col("left").cast("long") * 2 * F.col("k")).alias("split"))
     chained = cut(members.join(cut(sized.where("split < whole").select("grp")), "grp", "left_semi"))
     direct = members.join(chained.select("grp").distinct(), "grp", "left_anti")
     if not chained.isEmpty():
@@ -150,6 +199,15 @@ def _sized(members: DataFrame) -> DataFrame:
     return members.join(sizes.select("grp", blocks.alias("blocks"), (F.floor(F.col("t") / SLICE_TOKENS).cast("int") + 1).alias("slices")), "grp")
 
 
+def _sized_blocks(members: DataFrame) -> DataFrame:
+    """members with main, whether they are of the largest component of their group, the blocks of those that aren't, and slices as above."""
+    each = members.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("g"), F.sum("k").alias("t"))
+    sizes = each.groupBy("grp").agg(F.max(F.struct("g", "comp", "t")).alias("main"), F.sum("g").alias("g"), F.sum("t").alias("t"))
+    blocks = F.greatest(F.ceil((F.col("g") - F.col("main.g")) / BLOCK), F.ceil((F.col("t") - F.col("main.t")) / BLOCK_TOKENS), F.lit(1)).cast("int")
+    sizes = sizes.select("grp", F.col("main.comp").alias("most"), blocks.alias("blocks"), (F.floor(F.col("t") / SLICE_TOKENS).cast("int") + 1).alias("slices"))
+    return members.join(sizes, "grp").withColumn("main", F.col("comp") == F.col("most")).drop("most")
+
+
 def _rounds(sets: DataFrame, members: DataFrame, links: DataFrame | None, num: int, den: int, first: int) -> tuple[DataFrame | None, DataFrame | None]:
     """All links so far, and the members (cls, left, k, comp, grp) of the groups that ROUNDS rounds of pivots don't settle."""
     for turn in range(first, first + ROUNDS):
@@ -192,13 +250,15 @@ def _by_token(sets: DataFrame, members: DataFrame, num: int, den: int) -> DataFr
 
 
 def _blocks(sets: DataFrame, members: DataFrame, links: DataFrame | None, num: int, den: int) -> DataFrame:
-    """links with those of every block of a group against all of it."""
-    sized = _sized(members)
-    mine, own = _hash_mod(9001, F.col("slices")), _hash_mod(9002, F.col("blocks"))
-    probes = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct((j.cast("long") * F.col("slices") + mine).alias("part"), F.lit(False).alias("pivot")))
-    trees = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: F.struct((own * F.col("slices") + s).alias("part"), F.lit(True).alias("pivot")))
-    dealt = sized.withColumn("x", F.explode(F.concat(probes, trees))).select("cls", "comp", "grp", "x.part", "x.pivot")
-    return _with(links, _links(dealt.join(sets.select("cls", "n", "toks"), "cls"), num, den))
+    """links with those of every block of a group against all of it; the largest component needn't meet itself."""
+    sized = _sized_blocks(members).withColumn("own", F.when(F.col("main"), -1).otherwise(_hash_mod(9002, F.col("blocks"))))
+    mine = _hash_mod(9001, F.col("slices"))
+    # a set meets the blocks after its own, so that two blocks meet once
+    later = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j > F.col("own"))
+    probes = F.transform(later, lambda j: F.struct((j.cast("long") * F.col("slices") + mine).alias("part"), F.lit(False).alias("pivot")))
+    block = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: F.struct((F.col("own") * F.col("slices") + s).alias("part"), F.lit(True).alias("pivot")))
+    dealt = sized.withColumn("x", F.explode(F.when(F.col("main"), probes).otherwise(F.concat(probes, block)))).select("cls", "comp", "grp", "x.part", "x.pivot")
+    return _with(links, _block_links(dealt.join(sets.select("cls", "n", "toks"), "cls"), num, den))
 
 
 def _components(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:

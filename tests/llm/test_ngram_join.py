@@ -3,11 +3,13 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loamlake.llm import ngram_join
-from loamlake.llm.components import connected_components
+from loamlake.llm.blocks import Block
+from loamlake.llm.components import connected_components, local_components
 from loamlake.llm.ngram_join import keep_one_of_each, similar_documents
 from loamlake.llm.trie import PrefixTree
 
@@ -147,6 +149,54 @@ def test_tree_finds_every_link():
             assert set(linked) <= truth and {tree.find(j) for j in linked} == {tree.find(j) for j in truth}
 
 
+def test_block_finds_every_link():
+    rng = random.Random(5)
+    for num, den in ((4, 5), (85, 100)):
+        base = rng.sample(range(300), 60)
+        sets = [{x for x in base if rng.random() > 0.06} | set(rng.sample(range(900), rng.randrange(3))) for _ in range(90)]
+        rows = [(i, np.array(sorted(s)), len(s), i % 70) for i, s in enumerate(sets)]  # some come with a common component
+        pairs = {(i, j) for i in range(90) for j in range(90) if i != j and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])}
+        same = [(i, i - 70) for i in range(70, 90)]
+        block = Block(rows[:40], num, den)
+        assert [[len(a & b) for b in sets[:40]] for a in sets] == block.shared([r[1] for r in rows]).tolist()
+        found = block.linked(rows[:40]) + block.linked(rows[40:])
+        assert set(found) <= pairs and len(found) < 2 * 90
+
+        def grouped(edges):
+            nodes, root = local_components(*np.array(sorted(edges)).T)
+            return dict(zip(nodes.tolist(), root.tolist(), strict=True))
+
+        assert grouped([*found, *same]) == grouped([*(p for p in pairs if min(p) < 40), *same])
+
+
+def test_near_copies_that_mostly_differ(spark, monkeypatch):
+    """A group of near copies just under the similarity: few links, all found, and few rows dealt and joined by group."""
+    counts = []
+
+    def counted(rows, num, den, links):
+        counts.append(rows.count())
+        return links(rows, num, den)
+
+    for name in ("_links", "_block_links"):
+        monkeypatch.setattr(ngram_join, name, lambda *a, f=getattr(ngram_join, name): counted(*a, f))
+    rng, n = random.Random(11), 1500
+    lost = [rng.sample(range(150), 20) for _ in range(n)]
+    lost[1::100] = [[*x[:-2], *rng.sample(sorted(set(range(150)) - set(x)), 2)] for x in lost[::100]]  # like the one before them
+    sets = [set(range(150)) - set(x) for x in lost]
+    rows = [(i, 130, sorted(s)) for i, s in enumerate(sets)]
+    held = np.zeros((n, 150), np.int64)
+    for i, s in enumerate(sets):
+        held[i, sorted(s)] = 1
+    common = held @ held.T
+    a, b = np.nonzero(np.triu(85 * (260 - common) <= 100 * common, 1))
+    nodes, root = local_components(a, b)
+    monkeypatch.setattr(ngram_join, "BLOCK", 200)  # several blocks
+    links = ngram_join.jaccard_links(spark.createDataFrame(rows, "cls long, n long, toks array<long>"), 85, 100)
+    assert {r["node"]: r["component"] for r in connected_components(links).collect()} == dict(zip(nodes.tolist(), root.tolist(), strict=True))
+    print("rows dealt", counts)
+    assert sum(counts) < 9 * n
+
+
 def test_edges_and_keep_one(spark):
     schema = "doc_id long, text string, cls string, fp int, toks string"
     assert similar_documents(spark.createDataFrame([], schema)).count() == 0
