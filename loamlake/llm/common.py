@@ -11,6 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Seconds after which the next cut lets the driver collect its garbage.
+COLLECT_S = 10.0
+_collected = 0.0
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,8 +39,11 @@ def cut(df: DataFrame, tidy: bool = False) -> DataFrame:
     Rows survive lost executors, and later plans begin at the files: unlike Dataset.checkpoint, which carries
     constraints over and makes them multiply in loops, this keeps plans small and gives Spark true sizes.
     tidy: what was shuffled for it is large and no longer needed; a collection on the driver lets Spark delete
-    it now, not whenever the driver next runs out of memory.
+    it now, not whenever the driver next runs out of memory. Without it the driver still collects every COLLECT_S
+    seconds: each of the many queries of a loop leaves plans, metrics and file lists there, for which its heap
+    would grow to its limit before it collects them by itself.
     """
+    global _collected
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{_folder(spark)}/{uuid.uuid4().hex}"
@@ -47,6 +55,11 @@ def cut(df: DataFrame, tidy: bool = False) -> DataFrame:
             time.sleep(0.5)
             gc.collect()
             spark.sparkContext._jvm.System.gc()
+        _collected = time.monotonic()
+    elif time.monotonic() - _collected >= COLLECT_S:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _collected = time.monotonic()
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out

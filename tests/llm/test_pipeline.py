@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import numpy as np
 import public_tokenizers
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from loamlake.llm import common
 from loamlake.llm.quality import LEVEL, assess
 
 SF = "/root/testdata/sf0.001"
@@ -66,6 +68,19 @@ def test_run_and_edges(spark):
             stage(spark, frame, SF).collect(), json.dumps(name), np
 
 
+def test_cuts_collect_the_garbage_of_the_driver(spark, monkeypatch):
+    """Also such as aren't tidy, once some seconds have gone by since the last time, and not before."""
+    spark.range(1).count()
+    java = spark.sparkContext._jvm
+    pools = java.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(x.getCollectionCount() for x in pools() if "Old" in x.getName() or "MarkSweep" in x.getName())
+    monkeypatch.setattr(common, "_collected", time.monotonic() - common.COLLECT_S)
+    before = full()
+    assert common.cut(spark.range(3)).count() == 3
+    after = full()
+    assert after > before and time.monotonic() - common._collected < 5
+
+
 def test_emptied_copies_are_not_mixed(spark):
     """A third of the rows are copies of one text; the line dedup empties all but one and none of these is mixed."""
     schema = spark.read.parquet(f"{SF}/documents.parquet").schema
