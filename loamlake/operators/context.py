@@ -8,6 +8,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from loamlake.functions.text import safe_truncate, strip, text_identity
 from loamlake.plans.config import AnswerConfig
@@ -104,6 +105,14 @@ def answers(questions: DataFrame, decisions: DataFrame, contexts: DataFrame, pro
     return given.unionByName(refused)
 
 
+@F.pandas_udf(StringType())
+def four_digits(numbers: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Four digits after the point of the number as it is stored, where it lies half way to the even one; the
+    platform's format_string rounds the shortest decimal form, and that up."""
+    for s in numbers:
+        yield s.map(lambda x: f"{x:.4f}").astype(object)
+
+
 def source_cards(sources: DataFrame) -> DataFrame:
     """(qid, n, title, link, score) of public sources (qid, context_rank, titulo, url, score) as a page shows them.
 
@@ -113,4 +122,4 @@ def source_cards(sources: DataFrame) -> DataFrame:
     df = sources.withColumn("n", n)
     title = F.coalesce(F.when(strip(F.col("titulo")) != "", strip(F.col("titulo"))), F.concat(F.lit("Fonte "), F.col("n").cast("string")))
     link = F.when(F.col("url").rlike(r"(?i)^https?://[^/?#\s]+[^\s]*$"), F.col("url"))
-    return df.select("qid", "n", title.alias("title"), link.alias("link"), F.format_string("%.4f", F.col("score").cast("double")).alias("score"))
+    return df.select("qid", "n", title.alias("title"), link.alias("link"), F.when(F.col("score").isNotNull(), four_digits(F.col("score").cast("double"))).alias("score"))
