@@ -1,4 +1,4 @@
-"""Exact nearest vectors: blocks of data against blocks of questions, scored by matrix products."""
+"""Exact nearest vectors, scored by matrix products: few questions go to the data, many meet it in blocks."""
 
 from __future__ import annotations
 
@@ -9,22 +9,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamlake.operators.best import Best
+
 DIGITS = 9
 #: Vectors that one task holds while questions stream by, and questions that are scored at once.
 BLOCK = 65_536
-AT_ONCE = 256
+AT_ONCE = 16
+#: As many questions go to every task, which scores so many vectors at once.
+FEW, ROWS = 2_048, 1_024
 
 
 def vector_search(vectors: DataFrame, questions: DataFrame, limit: int, key: str = "id", vector: str = "vector", question_vector: str = "vector", metric: str = "cosine") -> DataFrame:
     """(qid, id, score_vector, rank_vector): the ``limit`` nearest of each question by cosine or inner product.
 
-    Every data block meets every question once; neither side is collected, and each task keeps one block.
+    Up to FEW questions go to all tasks, which keep the best of their vectors, so that no vector is shuffled. Of more,
+    every data block meets every question once; neither side is collected, and each task keeps one block.
     Zero vectors have no direction and take no part; ties after rounding go to the smaller id.
     """
     if metric not in ("cosine", "inner"):
         raise ValueError("metric must be cosine or inner")
     data = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
     asked = questions.select(F.col("qid").cast("long").alias("id"), F.col(question_vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    few = asked.limit(FEW + 1).collect()
+    order = Window.partitionBy("qid").orderBy(F.desc("score_vector"), "id")
+    if len(few) <= FEW:
+        found = _beside(data, few, limit, metric)
+        return found.withColumn("rank_vector", F.row_number().over(order)).where(F.col("rank_vector") <= limit)
     blocks = max(1, -(-data.count() // BLOCK))
     rows = data.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"), F.lit(0).alias("q"), "id", "v")
     many = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.lit(1).alias("q"), "id", "v")
@@ -55,10 +65,33 @@ def vector_search(vectors: DataFrame, questions: DataFrame, limit: int, key: str
 
     dealt = rows.unionByName(many).repartition(blocks, "b").sortWithinPartitions("b", "q")
     found = dealt.mapInArrow(run, "qid long, id long, score_vector double")
-    order = Window.partitionBy("qid").orderBy(F.desc("score_vector"), "id")
     return found.withColumn("rank_vector", F.row_number().over(order)).where(F.col("rank_vector") <= limit)
 
 
+def _beside(data: DataFrame, few: list, limit: int, metric: str) -> DataFrame:
+    """(qid, id, score_vector): the best of each task's vectors for every one of a few questions."""
+    qids, q = np.array([r["id"] for r in few], np.int64), np.array([r["v"] for r in few], np.float64)
+    own = np.einsum("ij,ij->i", q, q) if len(few) else np.zeros(0)
+    if metric == "cosine" and len(few):  # a zero vector has no direction
+        qids, q, own = qids[own > 0], q[own > 0], own[own > 0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(len(qids), limit)
+        for whole in batches:
+            for at in range(0, len(whole) if len(qids) else 0, ROWS):
+                batch = whole.slice(at, ROWS)
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+                norms = np.einsum("ij,ij->i", x, x)
+                some = np.flatnonzero(norms > 0)
+                scores = x[some] @ q.T
+                if metric == "cosine":
+                    scores /= np.sqrt(norms[some, None] * own)
+                best.add(np.round(scores, DIGITS) + 0.0, batch.column(0).to_numpy(zero_copy_only=False)[some])
+        yield pa.RecordBatch.from_arrays([pa.array(qids[best.question]), pa.array(best.id), pa.array(best.score)], names=["qid", "id", "score_vector"])
+
+    return data.select("id", "v").mapInArrow(run, "qid long, id long, score_vector double")
+
+
 def payload_id(payload: Column, point_id: Column) -> Column:
     """The text row of a point: postgres_id in its payload, else its own id; anything but a whole number is an error."""
     given = F.coalesce(F.try_element_at(payload, F.lit("postgres_id")), point_id.cast("string"))

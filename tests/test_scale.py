@@ -13,6 +13,7 @@ from loamlake.operators import lexical, vector
 from loamlake.operators.context import source_cards
 from loamlake.operators.embed import HashingEmbedder, embed_documents
 from loamlake.operators.lexical import LexicalIndex, lexical_search
+from loamlake.operators.vector import vector_search
 
 ODD = ["Ação É ÇÃO", "e\u0301te\u0301 \u1e8dy", "\ufb01m ½ ² Å İstanbul ıx ß", "\u212a\u212a \u212b", "a\u0000b\tc\r\nd", "中文 abc日本", "😀a😀b", "ΑΣ Σ ς", "x" * 300, "", None, "  --  ", "naïve café—ok", "ẞ ŉ ǅ ǆ ĳ", "A1b2_C3-d4.e5"]
 BOUND = "id long, titulo string, texto string, categoria string"
@@ -87,3 +88,15 @@ def test_lexical_search_keeps_the_best_of_each_task(spark, texts, asked, monkeyp
     df = Counter(t for r in texts.collect() for t in {x for f in ("titulo", "texto", "categoria") for x in tokens_of(r[f])})
     assert {r["term"]: r["df"] for r in LexicalIndex.build(texts, keep=False).terms.collect()} == df
     index.close()
+
+
+def test_few_and_many_questions_have_the_same_nearest(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i * j % 7 - 3) for j in range(1, 9)]) for i in range(300)], "id long, vector array<double>")
+    q = v.where("id % 10 = 0").withColumnRenamed("id", "qid")
+    monkeypatch.setattr(vector, "ROWS", 17)
+    found = lambda metric: {tuple(r) for r in vector_search(v, q, 6, metric=metric).collect()}
+    few = found("cosine"), found("inner")
+    assert "Exchange" not in plan(vector_search(v, q, 6)).split("MapInArrow", 1)[1]
+    monkeypatch.setattr(vector, "FEW", 0)
+    monkeypatch.setattr(vector, "BLOCK", 90)
+    assert (found("cosine"), found("inner")) == few
