@@ -11,10 +11,20 @@ DIGITS = 12
 NO_RANK = 10**9
 
 
+#: Hits up to this number are sent to the chunks by their ids; above, both sides are shuffled.
+SENT = 5_000_000
+
+
+def of_hits(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The chunks that any hit names. hits are read twice, so they should be kept; texts of other chunks don't move."""
+    ids = hits.select("id").distinct()
+    return chunks.join(F.broadcast(ids) if hits.count() <= SENT else ids, "id", "left_semi")
+
+
 def known_only(vector_hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Vector hits that the text table knows, ranked anew by their order."""
     order = Window.partitionBy("qid").orderBy("rank_vector")
-    return vector_hits.join(chunks.select("id"), "id", "left_semi").withColumn("rank_vector", F.row_number().over(order))
+    return vector_hits.join(of_hits(vector_hits, chunks.select("id")), "id", "left_semi").withColumn("rank_vector", F.row_number().over(order))
 
 
 def fuse(vector_hits: DataFrame, lexical_hits: DataFrame, config: RetrievalConfig = RetrievalConfig(), mode: str = "hybrid") -> DataFrame:

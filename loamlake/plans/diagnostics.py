@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loamlake.functions.text import expand_terms
 from loamlake.operators.context import pack_context
 from loamlake.operators.evidence import classify, context_sources, decide
-from loamlake.operators.fusion import dedup_sources, fuse, known_only
+from loamlake.operators.fusion import dedup_sources, fuse, known_only, of_hits
 from loamlake.operators.lexical import lexical_search
 from loamlake.operators.vector import vector_search
 from loamlake.plans.config import TOP_K
@@ -64,7 +64,7 @@ def phase_seconds(engine: Engine, questions: DataFrame, top_k: int = TOP_K) -> d
         near = phase("vector", known_only(vector_search(engine.vectors, embedded, most), engine.chunks))
         found = phase("lexical", lexical_search(index, asked.select("qid", expand_terms(F.col("terms")).alias("terms")), most, engine.retrieval))
         fused = phase("fuse", fuse(near, found, engine.retrieval))
-        hits = phase("enrich", dedup_sources(fused.join(engine.chunks, "id"), min(top_k, engine.retrieval.final_sources), engine.retrieval.max_chunks_per_source))
+        hits = phase("enrich", dedup_sources(fused.join(of_hits(fused, engine.chunks), "id"), min(top_k, engine.retrieval.final_sources), engine.retrieval.max_chunks_per_source))
         classified = phase("evidence", classify(hits.join(asked.select("qid", "terms"), "qid"), engine.evidence))
         decisions = decide(asked, classified, engine.evidence)
         phase("context", pack_context(context_sources(classified, decisions, engine.evidence), engine.answer))

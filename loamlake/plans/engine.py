@@ -6,19 +6,21 @@ from dataclasses import dataclass, field
 from typing import Self
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamlake.functions.text import expand_terms, query_terms
 from loamlake.operators.context import AnswerProvider, answers, pack_context
 from loamlake.operators.embed import HashingEmbedder
 from loamlake.operators.evidence import classify, context_sources, decide, public_sources
-from loamlake.operators.fusion import dedup_sources, fuse, known_only
+from loamlake.operators.fusion import dedup_sources, fuse, known_only, of_hits
 from loamlake.operators.lexical import LexicalIndex, lexical_search
 from loamlake.operators.vector import vector_search
 from loamlake.plans.config import TOP_K, AnswerConfig, EvidenceConfig, RetrievalConfig, valid_mode, valid_top_k
 
 
+#: As many different questions are sent to those that are equal to them.
+FEW = 100_000
 #: What a caller may see of a question's measures.
 PUBLIC_METRICS = ("n_sources", "n_direct", "n_partial", "n_weak", "n_strong_partial", "n_lexical", "n_distinct_sources", "n_covered", "coverage")
 
@@ -80,19 +82,29 @@ class Engine:
         valid_mode(mode)
         most = max(top_k, self.retrieval.initial_candidates)
         asked = self.prepare(questions) if "terms" not in questions.columns else questions
-        expanded = asked.select("qid", expand_terms(F.col("terms")).alias("terms"))
-        empty = asked.select("qid", F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("s"), F.lit(None).cast("int").alias("r")).limit(0)
+        # a text that is asked many times is searched once, under the least of its qids
+        asked = self.keep(asked.select("qid", "question", "terms"))
+        once = self.keep(asked.groupBy("question", "terms").agg(F.min("qid").alias("qid")))
+        expanded = once.select("qid", expand_terms(F.col("terms")).alias("terms"))
+        empty = once.select("qid", F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("s"), F.lit(None).cast("int").alias("r")).limit(0)
         if mode != "lexical":
-            embedded = asked.select("qid", self.embedder.vector(F.col("question")).alias("vector"))
-            near = known_only(vector_search(self.vectors, embedded, most), self.chunks)
+            embedded = once.select("qid", self.embedder.vector(F.col("question")).alias("vector"))
+            near = known_only(self.keep(vector_search(self.vectors, embedded, most)), self.chunks)
         else:
             near = empty.select("qid", "id", F.col("s").alias("score_vector"), F.col("r").alias("rank_vector"))
         if mode != "vector":
             found = lexical_search(self.index, expanded, most, self.retrieval)
         else:
             found = empty.select("qid", "id", F.col("s").alias("score_lexical"), F.col("r").alias("rank_lexical"))
-        hits = fuse(near, found, self.retrieval, mode).join(self.chunks, "id")
-        return dedup_sources(hits, min(top_k, self.retrieval.final_sources), self.retrieval.max_chunks_per_source)
+        fused = self.keep(fuse(near, found, self.retrieval, mode))
+        hits = fused.join(of_hits(fused, self.chunks), "id")
+        hits = dedup_sources(hits, min(top_k, self.retrieval.final_sources), self.retrieval.max_chunks_per_source)
+        n = once.count()
+        if n == asked.count():
+            return hits
+        named = once.select(F.col("qid").alias("_of"), F.col("question").alias("_question"), F.col("terms").alias("_terms"))
+        pairs = asked.join(F.broadcast(named) if n <= FEW else named, F.col("question").eqNullSafe(F.col("_question")) & F.col("terms").eqNullSafe(F.col("_terms"))).select("qid", "_of")
+        return pairs.join(hits.withColumnRenamed("qid", "_of"), "_of").drop("_of")
 
     def judge(self, questions: DataFrame, top_k: int = TOP_K, mode: str = "hybrid") -> tuple[DataFrame, DataFrame, DataFrame]:
         """(questions with terms, classified hits, one decision per question)."""

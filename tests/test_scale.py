@@ -12,8 +12,11 @@ from loamlake.functions.text import tokenize, tokens_of
 from loamlake.operators import lexical, vector
 from loamlake.operators.context import source_cards
 from loamlake.operators.embed import HashingEmbedder, embed_documents
+from loamlake.operators.fusion import of_hits
 from loamlake.operators.lexical import LexicalIndex, lexical_search
 from loamlake.operators.vector import vector_search
+from loamlake.plans import engine as engine_module
+from loamlake.plans.engine import Engine
 
 ODD = ["Ação É ÇÃO", "e\u0301te\u0301 \u1e8dy", "\ufb01m ½ ² Å İstanbul ıx ß", "\u212a\u212a \u212b", "a\u0000b\tc\r\nd", "中文 abc日本", "😀a😀b", "ΑΣ Σ ς", "x" * 300, "", None, "  --  ", "naïve café—ok", "ẞ ŉ ǅ ǆ ĳ", "A1b2_C3-d4.e5"]
 BOUND = "id long, titulo string, texto string, categoria string"
@@ -100,3 +103,28 @@ def test_few_and_many_questions_have_the_same_nearest(spark, monkeypatch):
     monkeypatch.setattr(vector, "FEW", 0)
     monkeypatch.setattr(vector, "BLOCK", 90)
     assert (found("cosine"), found("inner")) == few
+
+
+def test_equal_questions_are_searched_once(spark, texts, monkeypatch):
+    chunks = texts.select("*", F.col("id").cast("string").alias("documento_id"), F.concat(F.lit("https://e.x/"), F.col("id").cast("string")).alias("url"))
+    q = spark.createDataFrame([(i, ("w1 w2", "nada", "w4")[i % 3]) for i in range(300)], "qid long, question string")
+    searched = []
+    search = engine_module.vector_search
+    monkeypatch.setattr(engine_module, "vector_search", lambda v, q, *a, **b: (searched.append(q.count()), search(v, q, *a, **b))[1])
+    with Engine(chunks, embed_documents(chunks, "id", "texto")) as engine:
+        hits = engine.search(q, 5).collect()
+    assert searched == [3]
+    by = {}
+    for r in hits:
+        by.setdefault(r["qid"], set()).add((r["id"], r["rank"], r["score"], r["mode"]))
+    assert len(by) == 300 and all(len(by[i]) == 5 and by[i] == by[i % 3] for i in by)
+    assert len({frozenset(by[i]) for i in range(3)}) == 3
+
+
+def test_texts_that_no_hit_names_stay_where_they_are(spark, texts, tmp_path):
+    texts.write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    hits = spark.createDataFrame([(1, 5), (2, 5), (2, 9), (3, 999)], "qid long, id long")
+    found = of_hits(hits, stored)
+    assert sorted(r["id"] for r in found.collect()) == [5, 9]
+    assert "BroadcastHashJoin" in plan(found) and "SortMergeJoin" not in plan(found)
