@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+import textwrap
 from collections import Counter
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ from loamlake.operators.lexical import LexicalIndex, lexical_search
 from loamlake.operators.vector import vector_search
 from loamlake.plans import engine as engine_module
 from loamlake.plans.engine import Engine
+from loamlake.plans.source_queries import _validated
+from loamlake.sources import pdf
 
 ODD = ["Ação É ÇÃO", "e\u0301te\u0301 \u1e8dy", "\ufb01m ½ ² Å İstanbul ıx ß", "\u212a\u212a \u212b", "a\u0000b\tc\r\nd", "中文 abc日本", "😀a😀b", "ΑΣ Σ ς", "x" * 300, "", None, "  --  ", "naïve café—ok", "ẞ ŉ ǅ ǆ ĳ", "A1b2_C3-d4.e5"]
 BOUND = "id long, titulo string, texto string, categoria string"
@@ -128,3 +133,40 @@ def test_texts_that_no_hit_names_stay_where_they_are(spark, texts, tmp_path):
     found = of_hits(hits, stored)
     assert sorted(r["id"] for r in found.collect()) == [5, 9]
     assert "BroadcastHashJoin" in plan(found) and "SortMergeJoin" not in plan(found)
+
+
+ARTICLE = {"titulo": "Ação (um)", "autor": "Ana", "data": "2026", "categoria": "c", "url": "https://s.example/x", "conteudo_texto": "um\\dois (três)\n\n" + "palavra ≈ 7 " * 60}
+
+
+def test_lines_are_cut_as_textwrap_does():
+    words = ["a" * (i * 7 % 97) for i in range(400)]
+    lines = [" ".join(words[i : i + i % 60]) for i in range(340)] + ["", " a", "a ", "a  b " * 40, "x" * 93, "x" * 92 + " y", "a\tb" * 50, "b-c " * 60, "a\x1f b " * 30, "é ç " * 50]
+    for x in lines:
+        assert pdf.wrapped(x) == (textwrap.wrap(x, pdf.WIDTH, break_on_hyphens=False) or [""]), x
+
+
+def test_a_pdf_is_checked_without_making_it_again(monkeypatch):
+    data = pdf.article_pdf(ARTICLE, "a_1", "f" * 64)
+    monkeypatch.setattr(pdf, "wrapped", None)
+    assert pdf.validate(data, ARTICLE, "a_1", "f" * 64) == []
+    assert pdf.validate(data, ARTICLE, "a_2", "f" * 64) == ["metadata Keywords"]
+
+
+def test_texts_that_look_like_a_trailer_are_texts():
+    article = ARTICLE | {"conteudo_texto": "see /Root 3 and /Info 4 (five) of it"}
+    data = pdf.article_pdf(article, "a_1", "f" * 64)
+    got = pdf.read_pdf(data)
+    assert got.info["Title"] == ARTICLE["titulo"] and article["conteudo_texto"] in got.text
+    assert pdf.validate(data, article, "a_1", "f" * 64) == []
+
+
+def test_pdfs_are_handed_on_in_small_pieces():
+    n = 3 * pdf.AT_ONCE + 5
+    rows = [ARTICLE | {"document_id": f"a_{i}", "source_sha": "f"} for i in range(n)]
+    batch = pa.RecordBatch.from_pylist(rows)
+    made = list(pdf._made([batch]))
+    checked = list(_validated([batch]))
+    read = list(pdf._decoded([pd.Series([x for b in made for x in b.column("content").to_pylist()])]))
+    for pieces in (made, checked, read):
+        assert max(map(len, pieces)) == pdf.AT_ONCE and sum(map(len, pieces)) == n
+    assert [x for p in read for x in p["error"]] == [None] * n
