@@ -20,7 +20,7 @@ from loamlake.operators.lexical import LexicalIndex, lexical_search
 from loamlake.operators.vector import vector_search
 from loamlake.plans import engine as engine_module
 from loamlake.plans.engine import Engine
-from loamlake.plans.source_queries import _validated
+from loamlake.plans.source_queries import _validated, pdf_round_trip
 from loamlake.sources import pdf
 
 ODD = ["Ação É ÇÃO", "e\u0301te\u0301 \u1e8dy", "\ufb01m ½ ² Å İstanbul ıx ß", "\u212a\u212a \u212b", "a\u0000b\tc\r\nd", "中文 abc日本", "😀a😀b", "ΑΣ Σ ς", "x" * 300, "", None, "  --  ", "naïve café—ok", "ẞ ŉ ǅ ǆ ĳ", "A1b2_C3-d4.e5"]
@@ -170,3 +170,7 @@ def test_pdfs_are_handed_on_in_small_pieces():
     for pieces in (made, checked, read):
         assert max(map(len, pieces)) == pdf.AT_ONCE and sum(map(len, pieces)) == n
     assert [x for p in read for x in p["error"]] == [None] * n
+
+
+def test_the_round_trip_makes_every_pdf_once(spark):
+    assert plan(pdf_round_trip(spark, "/root/testdata/sf0.001")).count("MapInArrow") == 1
